@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bucket = entry.groupBy("band", "hash").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
     kept = bucket.groupBy("members", "n").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n")
     member = written(entry.join(kept, ["band", "hash"]).select("rep", "band", "hash", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "members")
-    sets = shingle_sets(docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    sets = shingle_sets(docs.join(member.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
     held = sets.join(classes.select(F.col("rep").alias("doc_id"), "copies", "bands"), "doc_id")
 
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")

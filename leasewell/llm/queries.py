@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasewell.llm import decontaminate, language_id, near_duplicates, repeats, vector_search, warc
+from leasewell.llm import decontaminate, language_id, near_duplicates, packing, repeats, sentencepiece_fst, vector_search, warc
 from leasewell.llm.session import scratch
 
 
@@ -20,6 +20,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids, round_trip of every document."""
+    return sentencepiece_fst.encoded(_table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the archive of all pages into the shared folder and read it back."""
     path = scratch(spark, "warc")
@@ -27,6 +32,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path)
 
 
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed id matrices of all documents."""
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best others of every vector whose id is divisible by 20."""
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -49,7 +59,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_decontaminate, op4_warc, op6_exact_top_k, op8_jaccard_join, op9_language_id, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_sentencepiece, op4_warc, op5_packed_ids, op6_exact_top_k, op8_jaccard_join, op9_language_id, op10_suffix_array_dedup)}
 
 
 #: DuckDB SQL for the queries that SQL can express in reasonable time.

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leasewell.llm import decontaminate, language_id, near_duplicates
+from leasewell.llm import decontaminate, language_id, near_duplicates, repeats, sentencepiece_fst
 from leasewell.llm.session import written
 
 
@@ -23,15 +23,27 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return near_duplicates.one_of_each_group(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that an earlier document (or the same one before) has; documents with nothing left go."""
+    return repeats.without_repeats(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no test item."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add the piece ids of the texts."""
+    return sentencepiece_fst.encode(docs)
+
+
 STAGES = [
     ("language ID", language),
     ("n-gram Jaccard join", near_duplicate),
+    ("suffix-array dedup", repeated_passages),
     ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding", token_ids),
 ]
 
 #: Not expressible in SQL: the language and token stages follow learned automata and transducers.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasewell.llm import decontaminate, language_id, near_duplicates, packing, repeats, sentencepiece_fst, vector_search, warc
+from leasewell.llm import decontaminate, html_extract, language_id, license_scan, near_duplicates, packing, repeats, sentencepiece_fst, vector_search, warc
 from leasewell.llm.session import scratch
 
 
@@ -20,6 +20,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, round_trip of every document."""
     return sentencepiece_fst.encoded(_table(spark, sf_dir, "documents"))
@@ -42,6 +47,11 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license found in a document: doc_id, license, coverage, begin_word, end_word, excerpt."""
+    return license_scan.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -59,7 +69,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_decontaminate, op3_sentencepiece, op4_warc, op5_packed_ids, op6_exact_top_k, op8_jaccard_join, op9_language_id, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_sentencepiece, op4_warc, op5_packed_ids, op6_exact_top_k, op7_license_scan, op8_jaccard_join, op9_language_id, op10_suffix_array_dedup)}
 
 
 #: DuckDB SQL for the queries that SQL can express in reasonable time.

@@ -1,0 +1,362 @@
+"""Replay of queue operations: receive, ack, nack, extend, expire and redrive as a deterministic fold.
+
+What an operation does depends on the result of the one before in its queue, so a queue is folded in the order of
+``op_seq``.  Spark deals operations by queue and sorts them; a task reads them as a stream and holds the state of the
+queue it is at, not its operations.  Ids and receipts are derived from ``op_seq``, so a replay gives the same result
+wherever and however often it runs.  The same ``QueueState`` is used by the streaming processor.
+
+Operations of one queue cannot be taken in parallel (each sees the state left by the last); queues can.  Log positions
+and sequences are global: they are ranks over all operations, computed in chunks afterwards.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import heapq
+import json
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leasewell.limits import DEFAULT, Limits
+from leasewell.operators.log import positions
+from leasewell.schemas import OUTCOMES
+
+
+ARROW_OUTCOMES = pa.schema([(name, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[kind]) for name, kind in (c.split() for c in OUTCOMES.split(", "))])
+
+
+class Refused(Exception):
+    """An operation that changes nothing; the message is its error code."""
+
+
+@dataclass
+class Settings:
+    """What a queue is set to; durations in microseconds."""
+
+    ordering: str = "fifo"
+    priority_enabled: bool = False
+    default_delay_us: int = 0
+    default_visibility_us: int = 60_000_000
+    max_deliveries: int = 5
+
+
+@dataclass
+class Entry:
+    """A message in a replay; times in microseconds since the epoch."""
+
+    message_id: str
+    sequence: int
+    priority: int
+    enqueued: int
+    available: int
+    state: str
+    deliveries: int = 0
+    lease_until: int | None = None
+    receipt: str | None = None
+    acked: int | None = None
+    dead: int | None = None
+    reason: str | None = None
+    replay_of: str | None = None
+    payload: str | None = None
+
+
+def receipt_of(message_id: str, epoch: int) -> str:
+    """The receipt of a delivery, derived from its message and epoch."""
+    return f"{message_id}.{epoch}.{hashlib.md5(f'{message_id}.{epoch}'.encode()).hexdigest()}"
+
+
+@dataclass
+class QueueState:
+    """A queue and its messages; ``apply`` takes one operation."""
+
+    settings: Settings = field(default_factory=Settings)
+    limits: Limits = DEFAULT
+    messages: dict[str, Entry] = field(default_factory=dict)
+    by_op: dict[int, str] = field(default_factory=dict)  # message and receipt that an operation returned
+    receipts: dict[int, str] = field(default_factory=dict)
+    tombstones: dict[str, tuple[str, int]] = field(default_factory=dict)
+    records: dict[str, dict] = field(default_factory=dict)
+    last_op: int = -1
+    ready: list = field(default_factory=list)
+    waiting: list = field(default_factory=list)
+    held: int = 0  # stored leases, expired ones included: no more than this are in flight
+
+    # ---- candidates: two heaps with lazy deletion, one by availability, one by delivery order
+
+    def _key(self, m: Entry) -> tuple[int, int]:
+        return (-m.priority if self.settings.priority_enabled else 0, -m.sequence if self.settings.ordering == "lifo" else m.sequence)
+
+    def _offer(self, m: Entry) -> None:
+        at = m.lease_until if m.state == "leased" else m.available
+        heapq.heappush(self.waiting, (max(at, m.available), m.message_id, m.deliveries))
+
+    def logical(self, m: Entry, now: int) -> str:
+        """The state a message really has."""
+        if m.state == "leased" and now >= m.lease_until:
+            return "dead" if m.deliveries >= self.settings.max_deliveries else "ready"
+        if m.state in ("ready", "delayed"):
+            return "delayed" if now < m.available else "ready"
+        return m.state
+
+    def _candidate(self, now: int) -> Entry | None:
+        while self.waiting and self.waiting[0][0] <= now:
+            _, message_id, deliveries = heapq.heappop(self.waiting)
+            m = self.messages[message_id]
+            if m.deliveries == deliveries:
+                heapq.heappush(self.ready, (*self._key(m), message_id, deliveries))
+        kept = []
+        found = None
+        while self.ready:
+            entry = self.ready[0]
+            m = self.messages[entry[2]]
+            if m.deliveries != entry[3] or m.state in ("acked", "dead"):
+                heapq.heappop(self.ready)
+            elif self.logical(m, now) == "ready" and m.available <= now and m.deliveries < self.settings.max_deliveries:
+                found = m
+                break
+            else:  # extended or put off since: wait again
+                heapq.heappop(self.ready)
+                if m.state != "leased" or m.deliveries < self.settings.max_deliveries:
+                    kept.append(m)
+        for m in kept:
+            self._offer(m)
+        return found
+
+    # ---- operations
+
+    def _checked(self, amount: int | None, most: int, least: int = 0) -> int:
+        if amount is None or not least <= amount <= most:
+            raise Refused("invalid_request")
+        return amount
+
+    def _available(self, now: int, delay: int, requested: int | None) -> int:
+        at = max(now + self._checked(delay, self.limits.delay), now if requested is None else requested)
+        if at > now + self.limits.delay:
+            raise Refused("invalid_request")
+        return at
+
+    def _room(self) -> None:
+        if len(self.messages) >= self.limits.messages_per_queue:
+            raise Refused("capacity_exceeded")
+
+    def _leased(self, op: dict, now: int) -> Entry:
+        m = self.messages.get(self._message(op))
+        if m is None:
+            raise Refused("not_found")
+        if m.state != "leased" or now >= m.lease_until or m.receipt != self.receipts.get(op["receipt_ref"]):
+            raise Refused("stale_receipt")
+        return m
+
+    def _message(self, op: dict) -> str | None:
+        if op["message_ref"] is None:
+            raise Refused("invalid_request")
+        return self.by_op.get(op["message_ref"])
+
+    def _release(self, m: Entry) -> None:
+        m.lease_until = m.receipt = None
+        self.held -= 1
+
+    def enqueue(self, op: dict, now: int) -> tuple[Entry, bool]:
+        if op["priority"] is not None and not self.settings.priority_enabled:
+            raise Refused("invalid_request")
+        if op["payload"] is not None and len(op["payload"].encode()) > self.limits.payload_bytes:
+            raise Refused("invalid_request")
+        self._room()
+        delay = self.settings.default_delay_us if op["delay_us"] is None else op["delay_us"]
+        at = self._available(now, delay, op["available_at"])
+        m = Entry(f"m{op['op_seq']}", op["op_seq"], op["priority"] or 0, now, at, "delayed" if at > now else "ready", payload=op["payload"])
+        self.messages[m.message_id] = m
+        self._offer(m)
+        return m, True
+
+    def receive(self, op: dict, now: int) -> tuple[Entry | None, bool]:
+        visibility = self._checked(op["visibility_us"] or self.settings.default_visibility_us, self.limits.visibility, 1)
+        m = self._candidate(now)
+        if m is None:
+            return None, False
+        if self.held >= self.limits.in_flight_per_queue and sum(1 for x in self.messages.values() if x.state == "leased" and now < x.lease_until) >= self.limits.in_flight_per_queue:
+            self._offer(m)
+            raise Refused("capacity_exceeded")
+        if m.state == "leased":
+            m.reason = "visibility_timeout"
+        else:
+            self.held += 1
+        m.state, m.deliveries, m.lease_until = "leased", m.deliveries + 1, now + visibility
+        m.receipt = receipt_of(m.message_id, m.deliveries)
+        self._offer(m)
+        return m, True
+
+    def ack(self, op: dict, now: int) -> tuple[Entry, bool]:
+        try:
+            m = self._leased(op, now)
+        except Refused:
+            receipt = self.receipts.get(op["receipt_ref"])
+            message_id, expires = self.tombstones.get(receipt, (None, 0))
+            if message_id is not None and message_id == self._message(op) and expires > now:
+                return self.messages[message_id], False
+            raise
+        self.tombstones[m.receipt] = (m.message_id, now + self.limits.ack_retention)
+        self._release(m)
+        m.state, m.acked = "acked", now
+        return m, True
+
+    def nack(self, op: dict, now: int) -> tuple[Entry, bool]:
+        delay = self._checked(op["delay_us"] or 0, self.limits.delay)
+        m = self._leased(op, now)
+        self._release(m)
+        m.reason = _cut((op["reason"] or "").strip(), self.limits.reason_bytes)
+        if m.deliveries >= self.settings.max_deliveries:
+            m.state, m.dead = "dead", now
+        else:
+            m.available, m.state = now + delay, "delayed" if delay else "ready"
+            self._offer(m)
+        return m, True
+
+    def extend(self, op: dict, now: int) -> tuple[Entry, bool]:
+        visibility = self._checked(op["visibility_us"], self.limits.visibility, 1)
+        m = self._leased(op, now)
+        m.lease_until = now + visibility
+        self._offer(m)
+        return m, True
+
+    def materialize(self, now: int) -> None:
+        """Write logical states into all messages."""
+        for m in self.messages.values():
+            state = self.logical(m, now)
+            if m.state == "leased" and state != "leased":
+                self._release(m)
+                m.reason = "visibility_timeout"
+                if state == "dead":
+                    m.dead = now
+                else:
+                    m.available = now
+                    self._offer_as(m, state)
+            m.state = state
+
+    def _offer_as(self, m: Entry, state: str) -> None:
+        m.state = state
+        self._offer(m)
+
+    def redrive(self, op: dict, now: int) -> tuple[Entry, bool]:
+        source = self.messages.get(self._message(op))
+        if source is None:
+            raise Refused("not_found")
+        if op["priority"] is not None and not self.settings.priority_enabled:
+            raise Refused("invalid_request")
+        if self.logical(source, now) != "dead":
+            raise Refused("conflict")
+        self._room()
+        at = self._available(now, op["delay_us"] or 0, op["available_at"])
+        self.materialize(now)
+        priority = source.priority if op["priority"] is None else op["priority"]
+        m = Entry(f"m{op['op_seq']}", op["op_seq"], priority, now, at, "delayed" if at > now else "ready", replay_of=source.message_id, payload=source.payload)
+        self.messages[m.message_id] = m
+        self._offer(m)
+        return m, True
+
+    def apply(self, op: dict) -> dict:
+        """The outcome of one operation; operations at or before the last one taken are ignored."""
+        now, name, key = op["ts"], op["op"], op["idempotency_key"]
+        out = {"op_seq": op["op_seq"], "queue": op["queue"], "op": name, "outcome": "ok", "error": None, "message_id": None, "receipt": None, "state": None, "delivery_count": None, "replayed": False, "changed": False, "created": False}
+        if op["op_seq"] <= self.last_op:
+            return out | {"outcome": "ignored"}
+        self.last_op = op["op_seq"]
+        record_key = f"{name}\x00{key}"
+        request = hashlib.sha256(json.dumps([op[c] for c in ("message_ref", "receipt_ref", "priority", "delay_us", "available_at", "visibility_us", "reason", "payload")]).encode()).hexdigest()
+        try:
+            if key is not None and len(key.encode()) > self.limits.key_bytes:
+                raise Refused("invalid_request")
+            record = self.records.get(record_key) if key is not None else None
+            if record is not None and record["expires"] > now:
+                if record["fingerprint"] != request:
+                    raise Refused("idempotency_conflict")
+                stored = record["result"]
+                if stored["message_id"]:
+                    self.by_op[op["op_seq"]], self.receipts[op["op_seq"]] = stored["message_id"], stored["receipt"]
+                return out | stored | {"replayed": True}
+            if name not in ("enqueue", "receive", "ack", "nack", "extend", "redrive"):
+                raise Refused("invalid_request")
+            m, changed = getattr(self, name)(op, now)
+            if m is None:
+                result = {"outcome": "empty", "message_id": None, "receipt": None, "state": None, "delivery_count": None}
+            else:
+                self.by_op[op["op_seq"]] = m.message_id
+                if m.receipt:
+                    self.receipts[op["op_seq"]] = m.receipt
+                result = {"outcome": "ok", "message_id": m.message_id, "receipt": m.receipt if name in ("receive", "extend") else None, "state": m.state, "delivery_count": m.deliveries}
+            replayed = name == "ack" and not changed
+            if key is not None and not replayed:
+                self.records[record_key] = {"fingerprint": request, "result": result, "expires": now + self.limits.idempotency_retention}
+            return out | result | {"replayed": replayed, "changed": changed or (key is not None and not replayed), "created": changed and name in ("enqueue", "redrive")}
+        except Refused as refused:
+            return out | {"outcome": "error", "error": str(refused)}
+
+    # ---- storage
+
+    def dump(self) -> str:
+        """The state as JSON."""
+        return json.dumps({"settings": asdict(self.settings), "messages": [asdict(m) for m in self.messages.values()], "by_op": self.by_op, "receipts": self.receipts, "tombstones": self.tombstones, "records": self.records, "last_op": self.last_op})
+
+    @classmethod
+    def load(cls, text: str, limits: Limits = DEFAULT) -> QueueState:
+        """The state that ``dump`` wrote."""
+        held = json.loads(text)
+        ops = lambda name: {int(k): v for k, v in held[name].items()}
+        out = cls(Settings(**held["settings"]), limits, {m["message_id"]: Entry(**m) for m in held["messages"]}, ops("by_op"), ops("receipts"), {k: tuple(v) for k, v in held["tombstones"].items()}, held["records"], held["last_op"])
+        out.held = sum(m.state == "leased" for m in out.messages.values())
+        for m in out.messages.values():
+            if m.state not in ("acked", "dead"):
+                out._offer(m)
+        return out
+
+
+def _cut(text: str, most: int) -> str:
+    return text.encode()[:most].decode("utf-8", "ignore")
+
+
+#: Columns of an operation as a task reads it: times are microseconds since the epoch.
+FIELDS = ("op_seq", "ts", "queue", "op", "message_ref", "receipt_ref", "priority", "delay_us", "available_at", "visibility_us", "reason", "payload", "idempotency_key")
+
+
+def with_micros(operations: DataFrame) -> DataFrame:
+    """Operations with their times as microseconds, in the order of FIELDS."""
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c)).alias(c)
+    return operations.select(*(micros(c) if c in ("ts", "available_at") else c for c in FIELDS))
+
+
+def replay(operations: DataFrame, settings: dict[str, Settings] | None = None, limits: Limits = DEFAULT) -> DataFrame:
+    """The outcome of every operation (schema OUTCOMES).
+
+    settings: by queue, at most ``Limits.queues`` of them; other queues have the defaults.
+    """
+    settings = settings or {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, held = None, QueueState()
+        for batch in batches:
+            out = []
+            for op in batch.to_pylist():
+                if op["queue"] != queue:
+                    queue, held = op["queue"], QueueState(settings.get(op["queue"], Settings()), limits)
+                out.append(held.apply(op))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, ARROW_OUTCOMES)
+
+    return with_micros(operations).repartition("queue").sortWithinPartitions("queue", "op_seq").mapInArrow(run, OUTCOMES)
+
+
+def numbered(outcomes: DataFrame) -> DataFrame:
+    """Outcomes that changed the state with their log position, those that made a message also with its sequence:
+    the dense ranks that a single writer would have given them."""
+    changed = positions(outcomes.where("changed").select("op_seq", "queue", "op", "message_id"), "op_seq", "lsn")
+    made = positions(outcomes.where("created").select("op_seq"), "op_seq", "sequence")
+    return changed.join(made, "op_seq", "left")
+
+
+def lease_trace(outcomes: DataFrame) -> DataFrame:
+    """Deliveries in order: which message a receive took, for the how-manieth time."""
+    return outcomes.where((F.col("op") == "receive") & (F.col("outcome") == "ok") & ~F.col("replayed")).select("op_seq", "queue", "message_id", "delivery_count")

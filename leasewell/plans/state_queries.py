@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leasewell.functions import validation as V
-from leasewell.operators import audit, log, state
+from leasewell.operators import audit, log, replay, state
 from leasewell.sources import fixtures as fx
 
 PAGE = 50
@@ -261,5 +261,25 @@ def durations(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "orders").select(k.alias("k"), ms.alias("ms")).select("k", V.duration_us("ms").alias("us"))
 
 
-_QUERIES = [logical_state, select_candidate, reservation_order, topk_per_queue, queue_counts, service_stats, list_queues, get_queue, in_flight, next_event, list_messages_p1, list_messages_p2, list_dead_letters, delayed_schedule, materialize, compact, prune_retention, prune_idempotency, capacity_headroom, idempotency_outcomes, log_fold, snapshot_plus_tail, state_diff, lsn_gaps, log_positions, redrive_lineage, receipt_validity, lease_claims, invariant_audit, invariant_audit_broken, recovered_state_audit, delta_violations, idempotency_audit, enqueue_schedule, queue_admission, fingerprints, name_validation, cursor_scopes, reasons, durations]
+def _settings() -> dict[str, replay.Settings]:
+    """Half of the replayed queues LIFO; few deliveries, so that some messages die."""
+    return {f"q{k}": replay.Settings("lifo" if k % 2 else "fifo", max_deliveries=2) for k in range(100)}
+
+
+def replay_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The outcome of every operation of the fixture history."""
+    return replay.replay(fx.operations(spark, sf), _settings())
+
+
+def reservation_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """Which message each receive of that history took."""
+    return replay.lease_trace(replay_outcomes(spark, sf))
+
+
+def replay_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Log positions and sequences of the operations of that history that changed the state."""
+    return replay.numbered(replay_outcomes(spark, sf))
+
+
+_QUERIES = [logical_state, select_candidate, reservation_order, topk_per_queue, queue_counts, service_stats, list_queues, get_queue, in_flight, next_event, list_messages_p1, list_messages_p2, list_dead_letters, delayed_schedule, materialize, compact, prune_retention, prune_idempotency, capacity_headroom, idempotency_outcomes, log_fold, snapshot_plus_tail, state_diff, lsn_gaps, log_positions, redrive_lineage, receipt_validity, lease_claims, invariant_audit, invariant_audit_broken, recovered_state_audit, delta_violations, idempotency_audit, enqueue_schedule, queue_admission, fingerprints, name_validation, cursor_scopes, reasons, durations, replay_outcomes, reservation_trace, replay_positions]
 QUERIES = {f.__name__: f for f in _QUERIES}

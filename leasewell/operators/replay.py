@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from leasewell.limits import DEFAULT, Limits
 from leasewell.operators.log import positions
-from leasewell.schemas import OUTCOMES
+from leasewell.schemas import MESSAGES, OUTCOMES
 
 
 ARROW_OUTCOMES = pa.schema([(name, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[kind]) for name, kind in (c.split() for c in OUTCOMES.split(", "))])
@@ -62,6 +62,8 @@ class Entry:
     reason: str | None = None
     replay_of: str | None = None
     payload: str | None = None
+    leased: int | None = None
+    changed: int = 0  # op_seq of the last operation that changed it
 
 
 def receipt_of(message_id: str, epoch: int) -> str:
@@ -157,7 +159,7 @@ class QueueState:
         return self.by_op.get(op["message_ref"])
 
     def _release(self, m: Entry) -> None:
-        m.lease_until = m.receipt = None
+        m.leased = m.lease_until = m.receipt = None
         self.held -= 1
 
     def enqueue(self, op: dict, now: int) -> tuple[Entry, bool]:
@@ -185,7 +187,7 @@ class QueueState:
             m.reason = "visibility_timeout"
         else:
             self.held += 1
-        m.state, m.deliveries, m.lease_until = "leased", m.deliveries + 1, now + visibility
+        m.state, m.deliveries, m.leased, m.lease_until = "leased", m.deliveries + 1, now, now + visibility
         m.receipt = receipt_of(m.message_id, m.deliveries)
         self._offer(m)
         return m, True
@@ -285,6 +287,8 @@ class QueueState:
                 result = {"outcome": "empty", "message_id": None, "receipt": None, "state": None, "delivery_count": None}
             else:
                 self.by_op[op["op_seq"]] = m.message_id
+                if changed:
+                    m.changed = op["op_seq"]
                 if m.receipt:
                     self.receipts[op["op_seq"]] = m.receipt
                 result = {"outcome": "ok", "message_id": m.message_id, "receipt": m.receipt if name in ("receive", "extend") else None, "state": m.state, "delivery_count": m.deliveries}
@@ -349,6 +353,40 @@ def replay(operations: DataFrame, settings: dict[str, Settings] | None = None, l
     return with_micros(operations).repartition("queue").sortWithinPartitions("queue", "op_seq").mapInArrow(run, OUTCOMES)
 
 
+def final_messages(operations: DataFrame, settings: dict[str, Settings] | None = None, limits: Limits = DEFAULT) -> DataFrame:
+    """The messages that a history leaves, with their receipts (schema MESSAGES and receipt); positions are op_seq."""
+    settings = settings or {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, held = None, None
+        for batch in batches:
+            for op in batch.to_pylist():
+                if op["queue"] != queue:
+                    if held is not None:
+                        yield from _message_rows(queue, held)
+                    queue, held = op["queue"], QueueState(settings.get(op["queue"], Settings()), limits)
+                held.apply(op)
+        if held is not None:
+            yield from _message_rows(queue, held)
+
+    return with_micros(operations).repartition("queue").sortWithinPartitions("queue", "op_seq").mapInArrow(run, f"{MESSAGES}, receipt string")
+
+
+def _message_rows(queue: str, held: QueueState) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "timestamp_ntz": pa.timestamp("us")}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in f"{MESSAGES}, receipt string".split(", "))])
+    messages = list(held.messages.values())
+    for k in range(0, len(messages), 10_000):
+        part = messages[k : k + 10_000]
+        yield pa.RecordBatch.from_pylist(
+            [
+                {"message_id": m.message_id, "queue": queue, "payload": m.payload, "priority": m.priority, "sequence": m.sequence, "enqueued_at": m.enqueued, "available_at": m.available, "state": m.state, "delivery_count": m.deliveries, "lease_epoch": m.deliveries, "leased_at": m.leased, "lease_until": m.lease_until, "acked_at": m.acked, "dead_at": m.dead, "last_failure_reason": m.reason, "replay_of": m.replay_of, "last_lsn": m.changed, "receipt": m.receipt}
+                for m in part
+            ],
+            schema,
+        )
+
+
 def numbered(outcomes: DataFrame) -> DataFrame:
     """Outcomes that changed the state with their log position, those that made a message also with its sequence:
     the dense ranks that a single writer would have given them."""

@@ -1,0 +1,190 @@
+"""A durable log and snapshots as Parquet directories published by a manifest.
+
+    store/log/<first>-<last>-<batch id>/   one directory of changes for each committed batch
+    store/snapshots/<generation>/          a folded state through a log position
+    store/manifest-<version>.json          what is committed; the newest version is the truth
+
+A batch is written to its own directory first and becomes visible when the next manifest is created, which fails if
+another writer has created that version: one writer wins.  A batch id that is already committed is skipped, so
+``foreachBatch`` may run a batch again.  Directories that no manifest names are leftovers and are ignored.  After a
+failed write the store is read-only.  All files go through Hadoop's file system, so any store that Spark can write
+will do.
+"""
+
+from __future__ import annotations
+
+import json
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leasewell.operators.log import fold, positions, snapshot_plus_tail
+
+#: Snapshots kept by compaction.
+KEEP_SNAPSHOTS = 2
+#: Rows of one batch (a bound on what an append may publish at once).
+MOST_BATCH_ROWS = 10_000_000
+
+
+class StoreError(Exception):
+    """A store that cannot be read or written; ``code`` says why."""
+
+    def __init__(self, code: str, text: str):
+        super().__init__(text)
+        self.code = code
+
+
+@dataclass
+class Manifest:
+    """What is committed."""
+
+    version: int = 0
+    durable_lsn: int = 0
+    batches: list[dict] = field(default_factory=list)  # id, path, first, last
+    snapshots: list[dict] = field(default_factory=list)  # generation, path, through, rows
+    done: list[str] = field(default_factory=list)  # batch ids of pruned batches
+
+
+class Store:
+    """A log of changes (key, deleted, value) and its snapshots."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.failed = spark, path.rstrip("/"), False
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.manifest = self._newest()
+
+    # ---- files
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _newest(self) -> Manifest:
+        root = self._path("")
+        files = root.getFileSystem(self._conf)
+        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        versions = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
+        if not versions:
+            return Manifest()
+        text = self.spark.read.text(f"{self.path}/manifest-{max(versions):020d}.json", wholetext=True).first()[0]
+        try:
+            return Manifest(**json.loads(text))
+        except (ValueError, TypeError) as error:
+            raise StoreError("storage_unavailable", f"manifest {max(versions)} cannot be read") from error
+
+    def _publish(self, new: Manifest) -> None:
+        new.version = self.manifest.version + 1
+        target = self._path(f"manifest-{new.version:020d}.json")
+        draft = self._path(f".draft-{new.version}-{id(new)}")
+        files = target.getFileSystem(self._conf)
+        try:
+            out = files.create(draft, True)
+            out.write(bytearray(json.dumps(asdict(new)).encode()))
+            out.close()
+            if files.exists(target) or not files.rename(draft, target):
+                raise StoreError("conflict", f"another writer has published version {new.version}")
+        except Exception:
+            self.failed = True
+            raise
+        self.manifest = new
+
+    def _writable(self) -> None:
+        if self.failed:
+            raise StoreError("storage_unavailable", "the store is read-only after a failed write")
+
+    # ---- writing
+
+    def append(self, changes: DataFrame, batch_id: str, order: str = "op_seq") -> int:
+        """Commit a batch of changes, numbered after the last committed position in the order of a unique integer
+        column; returns the new last position."""
+        self._writable()
+        if batch_id in self.manifest.done or any(b["id"] == batch_id for b in self.manifest.batches):
+            return self.manifest.durable_lsn
+        rows = positions(changes, order, "_n").withColumn("lsn", F.col("_n") + self.manifest.durable_lsn).drop("_n")
+        path = f"log/{self.manifest.durable_lsn + 1:020d}-{batch_id}-{self.manifest.version + 1}"
+        try:
+            rows.write.mode("overwrite").parquet(f"{self.path}/{path}")
+        except Exception:
+            self.failed = True
+            raise
+        n = self.spark.read.parquet(f"{self.path}/{path}").count()
+        if n > MOST_BATCH_ROWS:
+            raise StoreError("capacity_exceeded", "too many rows in a batch")
+        new = Manifest(**asdict(self.manifest))
+        if n:
+            new.batches.append({"id": batch_id, "path": path, "first": new.durable_lsn + 1, "last": new.durable_lsn + n})
+            new.durable_lsn += n
+        else:
+            new.done.append(batch_id)
+        self._publish(new)
+        return new.durable_lsn
+
+    def checkpoint(self) -> int:
+        """Write the state as a snapshot, read it back to verify it, and publish it; returns its generation."""
+        self._writable()
+        generation = max((s["generation"] for s in self.manifest.snapshots), default=0) + 1
+        path = f"snapshots/{generation:020d}-{self.manifest.version + 1}"
+        state = self.state()
+        marks = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*sorted(df.columns)))).first())
+        try:
+            state.write.mode("overwrite").parquet(f"{self.path}/{path}")
+            read = self.spark.read.parquet(f"{self.path}/{path}")
+            if marks(read) != marks(state):
+                raise StoreError("storage_unavailable", "a snapshot does not read back as it was written")
+        except Exception:
+            self.failed = True
+            raise
+        new = Manifest(**asdict(self.manifest))
+        new.snapshots.append({"generation": generation, "path": path, "through": new.durable_lsn, "rows": marks(read)[0]})
+        self._publish(new)
+        return generation
+
+    def compact(self) -> None:
+        """Snapshot, then keep the newest snapshots and the log after the oldest of them."""
+        self.checkpoint()
+        new = Manifest(**asdict(self.manifest))
+        dropped, new.snapshots = new.snapshots[:-KEEP_SNAPSHOTS], new.snapshots[-KEEP_SNAPSHOTS:]
+        floor = new.snapshots[0]["through"]
+        gone = [b for b in new.batches if b["last"] <= floor]
+        new.batches = [b for b in new.batches if b["last"] > floor]
+        new.done += [b["id"] for b in gone]
+        self._publish(new)
+        for old in (*dropped, *gone):
+            path = self._path(old["path"])
+            path.getFileSystem(self._conf).delete(path, True)
+
+    # ---- reading
+
+    def records(self, after: int = 0) -> DataFrame | None:
+        """The committed log after a position; None if there is none."""
+        paths = [f"{self.path}/{b['path']}" for b in self.manifest.batches if b["last"] > after]
+        return self.spark.read.parquet(*paths).where(F.col("lsn") > after) if paths else None
+
+    def snapshot(self) -> tuple[DataFrame | None, int]:
+        """The newest snapshot and the position it goes through."""
+        if not self.manifest.snapshots:
+            return None, 0
+        newest = self.manifest.snapshots[-1]
+        return self.spark.read.parquet(f"{self.path}/{newest['path']}"), newest["through"]
+
+    def state(self) -> DataFrame:
+        """The state that snapshot and log leave: (key, lsn, value)."""
+        held, through = self.snapshot()
+        tail = self.records(through)
+        if tail is None:
+            if held is None:
+                raise StoreError("not_found", "the store is empty")
+            return held
+        tail = tail.select("key", "lsn", "deleted", "value")
+        return fold(tail, "key") if held is None else snapshot_plus_tail(held.select("key", "lsn", "value"), tail, through, "key")
+
+    def stats(self) -> DataFrame:
+        """One row about the store."""
+        m = self.manifest
+        newest = m.snapshots[-1] if m.snapshots else {"generation": 0, "through": 0}
+        row = (m.durable_lsn, len(m.batches), newest["generation"], newest["through"], self.failed)
+        return self.spark.createDataFrame([row], "durable_lsn bigint, segment_count int, snapshot_generation bigint, snapshot_through_lsn bigint, read_only boolean")
+
+    def sink(self, order: str = "op_seq"):
+        """A foreachBatch function that appends micro-batches, each once."""
+        return lambda batch, batch_id: self.append(batch, f"stream-{batch_id}", order)

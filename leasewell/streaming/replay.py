@@ -1,0 +1,59 @@
+"""Streaming replay: the fold of ``operators.replay`` keyed by queue, with its state in Spark's state store.
+
+Rows of a micro-batch come in any order: they are sorted by op_seq, and operations at or before the last one taken are
+ignored, so a batch that runs again changes nothing.  The operation's own time is the clock; timers only tell that a
+deadline has passed and never decide an outcome.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from leasewell.operators.replay import QueueState, Settings, with_micros
+from leasewell.schemas import OUTCOMES
+
+
+class ReplayProcessor(StatefulProcessor):
+    """One queue's state as JSON in a value state."""
+
+    def __init__(self, settings: dict[str, Settings] | None = None):
+        self.settings = settings or {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("queue", "state string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        queue = key[0]
+        state = QueueState.load(self.held.get()[0]) if self.held.exists() else QueueState(self.settings.get(queue, Settings()))
+        operations = [op for frame in rows for op in plain(frame)]
+        out = [state.apply(op) for op in sorted(operations, key=lambda op: op["op_seq"])]
+        self.held.update((state.dump(),))
+        frame = pd.DataFrame(out)
+        frame["delivery_count"] = frame["delivery_count"].astype("Int64")
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def plain(frame: pd.DataFrame) -> list[dict]:
+    """Rows as dicts of plain values; numbers with gaps come as floats and go back to integers."""
+    rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
+    text = {"queue", "op", "reason", "payload", "idempotency_key"}
+    return [{c: v if v is None or c in text else int(v) for c, v in row.items()} for row in rows]
+
+
+def streaming_replay(operations: DataFrame, settings: dict[str, Settings] | None = None) -> DataFrame:
+    """Outcomes of a stream of operations (schema OUTCOMES); the session needs the RocksDB state store."""
+    rows = with_micros(operations)
+    return rows.groupBy("queue").transformWithStateInPandas(ReplayProcessor(settings), OUTCOMES, "Append", "none")
+
+
+def deadlines(messages: DataFrame, every: str = "1 minute", late: str = "1 hour") -> DataFrame:
+    """How many leases end in each window of time, over a stream of lease rows (queue, lease_until)."""
+    return messages.withWatermark("lease_until", late).groupBy(F.window("lease_until", every), "queue").agg(F.count("*").alias("n")).select("queue", F.col("window.start").alias("begin"), "n")

@@ -1,0 +1,57 @@
+"""A plain model of one queue, written from the definitions: linear scans, no heaps, no stored logical state."""
+
+
+class Model:
+    def __init__(self, lifo, priority, most):
+        self.lifo, self.priority, self.most = lifo, priority, most
+        self.rows, self.returned = [], {}
+
+    def state(self, m, now):
+        if m["state"] == "leased" and now >= m["until"]:
+            return "dead" if m["count"] >= self.most else "ready"
+        if m["state"] in ("ready", "delayed"):
+            return "delayed" if now < m["at"] else "ready"
+        return m["state"]
+
+    def apply(self, k, now, op, ref, amount):
+        m, epoch = self.returned.get(ref, (None, None))
+        if op == "enqueue":
+            m = {"id": f"m{k}", "seq": k, "priority": amount % 5 if self.priority else 0, "at": now + amount, "state": "delayed" if amount else "ready", "count": 0, "until": None}
+            self.rows.append(m)
+            self.returned[k] = (m, None)
+            return "ok", m["id"]
+        if op == "receive":
+            open_ = [x for x in self.rows if self.state(x, now) == "ready" and x["at"] <= now and x["count"] < self.most]
+            if not open_:
+                return "empty", None
+            m = min(open_, key=lambda x: (-x["priority"] if self.priority else 0, -x["seq"] if self.lifo else x["seq"]))
+            m.update(state="leased", count=m["count"] + 1, until=now + 1 + amount)
+            self.returned[k] = (m, m["count"])
+            return "ok", m["id"]
+        if m is None:
+            return "not_found", None
+        if op == "redrive":
+            if self.state(m, now) != "dead":
+                return "conflict", None
+            for x in self.rows:
+                state = self.state(x, now)
+                if x["state"] == "leased" and state == "ready":
+                    x["at"] = now
+                x["state"] = state
+            child = {"id": f"m{k}", "seq": k, "priority": m["priority"], "at": now + amount, "state": "delayed" if amount else "ready", "count": 0, "until": None}
+            self.rows.append(child)
+            self.returned[k] = (child, None)
+            return "ok", child["id"]
+        if m["state"] != "leased" or now >= m["until"] or epoch != m["count"]:
+            if op == "ack" and m["state"] == "acked" and epoch == m["count"]:
+                self.returned[k] = (m, None)
+                return "ok", m["id"]
+            return "stale_receipt", None
+        if op == "ack":
+            m["state"] = "acked"
+        elif op == "nack":
+            m.update(state="dead") if m["count"] >= self.most else m.update(state="delayed" if amount else "ready", at=now + amount)
+        else:
+            m["until"] = now + 1 + amount
+        self.returned[k] = (m, epoch if op == "extend" else None)
+        return "ok", m["id"]

@@ -1,0 +1,119 @@
+"""The fold against a plain model, and its Spark and streaming forms against each other."""
+
+from datetime import datetime, timedelta
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from leasewell.operators import replay
+from leasewell.operators.replay import QueueState, Settings
+from leasewell.schemas import OPERATIONS
+from tests.model import Model
+
+OPS = ["enqueue", "enqueue", "receive", "receive", "ack", "nack", "extend", "redrive"]
+T0 = datetime(2026, 8, 26, 20)
+
+
+def op(k, ts, name, ref=None, priority=None, delay=None, visibility=None, key=None, queue="q"):
+    return {"op_seq": k, "ts": ts, "queue": queue, "op": name, "message_ref": ref, "receipt_ref": ref, "priority": priority, "delay_us": delay, "available_at": None, "visibility_us": visibility, "reason": " why " if name == "nack" else None, "payload": None, "idempotency_key": key}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.booleans(), st.booleans(), st.integers(1, 3), st.lists(st.tuples(st.sampled_from(OPS), st.integers(1, 6), st.integers(0, 12), st.integers(0, 5)), max_size=80))
+def test_fold_equals_model(lifo, priority, most, steps):
+    fold, model, now = QueueState(Settings("lifo" if lifo else "fifo", priority, max_deliveries=most)), Model(lifo, priority, most), 0
+    for k, (name, back, amount, pause) in enumerate(steps):
+        now += pause
+        row = op(k, now, name, k - back)
+        if name == "enqueue":
+            row.update(delay_us=amount, priority=amount % 5 if priority else None)
+        elif name in ("receive", "extend"):
+            row["visibility_us"] = 1 + amount
+        else:
+            row["delay_us"] = amount
+        expected = model.apply(k, now, name, k - back, amount)
+        got = fold.apply(row)
+        assert (got["error"] or got["outcome"], got["message_id"]) == expected, (k, row)
+        assert {m["id"]: model.state(m, now) for m in model.rows} == {i: fold.logical(m, now) for i, m in fold.messages.items()}
+        fold = QueueState.load(fold.dump())
+
+
+def test_keys():
+    q = QueueState()
+    first = q.apply(op(0, 0, "enqueue", key="a"))
+    assert not first["replayed"] and first["message_id"] == "m0"
+    again = q.apply(op(1, 5, "enqueue", key="a"))
+    assert again["replayed"] and again["message_id"] == "m0" and not again["changed"]
+    assert q.apply(op(2, 6, "enqueue", delay=9, key="a"))["error"] == "idempotency_conflict"
+    assert q.apply(op(3, 7, "receive", key="a"))["message_id"] == "m0"  # another operation, another key
+    assert q.apply(op(4, 8, "receive", key="b"))["outcome"] == "empty"
+    q.apply(op(5, 9, "enqueue"))
+    assert q.apply(op(6, 10, "receive", key="b"))["outcome"] == "empty"  # an empty result is kept
+    late = 86_400_000_001
+    assert q.apply(op(7, late, "enqueue", delay=9, key="a"))["message_id"] == "m7"
+    assert q.apply(op(7, late, "enqueue"))["outcome"] == "ignored"
+
+
+def test_refusals():
+    q = QueueState(Settings(max_deliveries=1))
+    assert q.apply(op(0, 0, "enqueue", priority=0))["error"] == "invalid_request"
+    assert q.apply(op(1, 0, "enqueue", delay=-1))["error"] == "invalid_request"
+    assert q.apply(op(2, 0, "ack", 99))["error"] == "not_found"
+    assert q.apply(op(3, 0, "extend", 99, visibility=0))["error"] == "invalid_request"
+    q.apply(op(4, 0, "enqueue"))
+    q.apply(op(5, 0, "receive"))
+    assert q.apply(op(6, 1, "nack", 5))["state"] == "dead"
+    assert q.messages["m4"].reason == "why"
+    child = q.apply(op(7, 2, "redrive", 4, key="k"))
+    assert child["message_id"] == "m7" and q.messages["m7"].replay_of == "m4"
+    assert q.apply(op(8, 3, "redrive", 4, key="k"))["replayed"]
+
+
+def history(n=400, queues=3):
+    rows = []
+    for k in range(n):
+        name = OPS[(k * 7 + k // 5) % len(OPS)]
+        row = op(k, T0 + timedelta(seconds=k), name, k - 3 if k > 3 else None, queue=f"q{k % queues}", key=f"k{k % 40}" if k % 6 == 0 else None)
+        row["delay_us"] = (k % 3) * 1_000_000 if name in ("enqueue", "nack", "redrive") else None
+        row["visibility_us"] = 20_000_000 if name in ("receive", "extend") else None
+        rows.append(row)
+    return rows
+
+
+def test_spark_equals_plain_fold(spark):
+    rows = history()
+    got = {r.op_seq: r.asDict() for r in replay.replay(spark.createDataFrame(rows, OPERATIONS)).collect()}
+    held = {}
+    for row in rows:
+        plain = row | {"ts": int((row["ts"] - datetime(1970, 1, 1)).total_seconds() * 1e6)}
+        assert got[row["op_seq"]] == held.setdefault(row["queue"], QueueState()).apply(plain)
+
+
+def test_numbering_is_dense(spark):
+    outcomes = replay.replay(spark.createDataFrame(history(), OPERATIONS))
+    rows = replay.numbered(outcomes).orderBy("op_seq").collect()
+    assert [r.lsn for r in rows] == list(range(1, len(rows) + 1))
+    made = [r.sequence for r in rows if r.sequence is not None]
+    assert made == list(range(1, len(made) + 1)) and made
+
+
+def test_empty_history(spark):
+    empty = spark.createDataFrame([], OPERATIONS)
+    assert replay.replay(empty).count() == 0 and replay.final_messages(empty).count() == 0
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from leasewell.streaming.replay import streaming_replay
+
+    rows = history(120)
+    for part in range(2):
+        spark.createDataFrame(rows[part * 60 : part * 60 + 60], OPERATIONS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(OPERATIONS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streaming_replay(stream).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "check")).start()
+    query.processAllAvailable()
+    query.stop()
+    got = {r.op_seq: r.asDict() for r in spark.table("replayed").where("outcome <> 'ignored'").collect()}
+    batch = {r.op_seq: r.asDict() for r in replay.replay(spark.createDataFrame(rows, OPERATIONS)).collect()}
+    assert got and all(batch[k] == v for k, v in got.items())
+    ordered = spark.read.parquet(str(tmp_path / "in")).inputFiles()
+    assert len(ordered) == 2

@@ -1,0 +1,174 @@
+"""The store, the log reader and the validation functions."""
+
+import hashlib
+import struct
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from leasewell.functions import validation as V
+from leasewell.service import QueueError, QueueService
+from leasewell.sources import wal
+from leasewell.sources.store import Store, StoreError
+
+T0 = datetime(2026, 8, 26, 20)
+
+
+def changes(spark, *rows):
+    return spark.createDataFrame(rows, "op_seq bigint, key string, deleted boolean, value string")
+
+
+def test_store_commits_each_batch_once(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert store.append(changes(spark, (7, "a", False, "1"), (3, "b", False, "2")), "one") == 2
+    assert store.append(changes(spark, (7, "a", False, "1"), (3, "b", False, "2")), "one") == 2
+    assert store.append(changes(spark, (9, "b", True, None), (11, "c", False, "3")), "two") == 4
+    state = lambda s: {r.key: (r.lsn, r.value) for r in s.state().collect()}
+    assert state(store) == {"a": (2, "1"), "c": (4, "3")}
+    store.checkpoint()
+    store.append(changes(spark, (12, "a", False, "4")), "three")
+    again = Store(spark, f"file://{tmp_path}/store")
+    assert state(again) == {"a": (5, "4"), "c": (4, "3")}
+    again.compact()
+    again.compact()
+    assert state(Store(spark, f"file://{tmp_path}/store")) == {"a": (5, "4"), "c": (4, "3")}
+    assert again.append(changes(spark, (7, "a", False, "1")), "one") == 5  # known though its directory is gone
+    assert tuple(again.stats().first()) == (5, 0, 3, 5, False)
+
+
+def test_one_writer_wins(spark, tmp_path):
+    first, second = Store(spark, f"file://{tmp_path}/store"), Store(spark, f"file://{tmp_path}/store")
+    first.append(changes(spark, (1, "a", False, "1")), "one")
+    with pytest.raises(StoreError):
+        second.append(changes(spark, (1, "a", False, "2")), "other")
+    with pytest.raises(StoreError, match="read-only"):
+        second.append(changes(spark, (1, "a", False, "2")), "more")
+    assert Store(spark, f"file://{tmp_path}/store").state().first().value == "1"
+
+
+def test_checksum():
+    assert wal.crc32c(b"123456789") == 0xE3069283
+    assert wal.crc32c(b"6789", wal.crc32c(b"12345")) == 0xE3069283
+
+
+def log_files(tmp_path):
+    store, previous, position = b"S" * 16, bytes(32), 1
+    for number in (1, 2):
+        records = [wal.encode_record(position + k, bytes([k]) * 16, f"payload {position + k}".encode()) for k in range(3)]
+        data = wal.encode_segment(number, position, store, previous, records)
+        (tmp_path / f"{number:020d}.wal").write_bytes(data)
+        previous, position = hashlib.sha256(data).digest(), position + 3
+    return store
+
+
+def test_log_reader(spark, tmp_path):
+    log_files(tmp_path)
+    rows = wal.records(spark, str(tmp_path)).orderBy("lsn").collect()
+    assert [(int(r.lsn), bytes(r.payload)) for r in rows] == [(k, f"payload {k}".encode()) for k in range(1, 7)]
+    assert wal.chain_faults(wal.segments(spark, str(tmp_path)), wal.records(spark, str(tmp_path))).count() == 0
+
+
+def test_log_reader_reports_faults(spark, tmp_path):
+    log_files(tmp_path)
+    second = tmp_path / f"{2:020d}.wal"
+    second.write_bytes(second.read_bytes()[:-5])
+    fault = wal.records(spark, str(tmp_path)).where("error is not null").first()
+    assert (fault.error, fault.torn, fault.recoverable) == ("incomplete record body", True, True)
+    first = tmp_path / f"{1:020d}.wal"
+    data = bytearray(first.read_bytes())
+    data[100] ^= 1
+    first.write_bytes(bytes(data))
+    faults = {(int(r.segment_id), r.fault) for r in wal.chain_faults(wal.segments(spark, str(tmp_path)), wal.records(spark, str(tmp_path))).collect()}
+    assert (2, "segment hash chain mismatch") in faults
+    assert not wal.records(spark, str(tmp_path)).where("error is not null and segment_id = 1").first().recoverable
+
+
+def test_every_bit_flip_is_found():
+    data = wal.encode_record(9, b"t" * 16, b"hello")
+    for k in range(len(data) * 8):
+        bad = bytearray(data)
+        bad[k // 8] ^= 1 << k % 8
+        if k // 8 in (8, 9):  # flags are covered by the checksum only
+            assert bytes(bad) != data
+        with pytest.raises(wal.Corrupt):
+            wal.decode_record(bytes(bad), 0)
+    for n in range(len(data)):
+        with pytest.raises(wal.Corrupt):
+            wal.decode_record(data[:n], 0)
+
+
+def test_snapshot_and_head():
+    store = b"S" * 16
+    data = wal.encode_snapshot(store, 3, 17, b"state")
+    assert wal.decode_snapshot(data) == (store, 3, 17, b"state")
+    for k in range(len(data)):
+        with pytest.raises(wal.Corrupt):
+            wal.decode_snapshot(data[:k] + bytes([data[k] ^ 4]) + data[k + 1 :])
+    head = wal.encode_head(store, 1, 2, 6, 0, 0)
+    assert len(head) == 72 and wal.decode_head(head)["durable_lsn"] == 6
+    with pytest.raises(wal.Corrupt):
+        wal.decode_head(wal.encode_head(store, 3, 2, 6, 0, 0))
+    assert len(data) == 56 + 5 + 48 and struct.calcsize("<I") == 4
+
+
+def said(spark, rows, schema, column):
+    return [r[0] for r in spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k int, {schema}").orderBy("k").select(column).collect()]
+
+
+def test_formats(spark):
+    names = [("a",), ("a.b_c-9",), ("x" * 128,), ("x" * 129,), ("",), ("a b",), ("é",), (None,), ("a\n",)]
+    assert said(spark, names, "n string", V.queue_name_valid("n")) == [True, True, True, False, False, False, False, False, False]
+    assert said(spark, [("k",), ("k k",), ("~" * 256,), ("~" * 257,), ("",)], "n string", V.key_valid("n")) == [True, False, True, False, False]
+    good = "m1.3." + "0f" * 16
+    assert said(spark, [(good, "m1", 3), (good, "m1", 4), (good, "m2", 3), ("m1.3.", "m1", 3), (None, "m1", 3)], "r string, m string, e bigint", V.receipt_valid("r", "m", "e")) == [True, False, False, False, False]
+
+
+def test_reasons(spark):
+    texts = ["  a \t", "　x ", "é" * 300, "a" + "é" * 300, "€" * 200, "ab" + "😀" * 200, "", None]
+    cut = lambda t: None if t is None else t.strip().encode()[:512].decode("utf-8", "ignore")
+    assert said(spark, [(t,) for t in texts], "t string", V.reason_trimmed("t")) == [cut(t) for t in texts]
+
+
+def test_strict_json(spark):
+    texts = ['{"a":1}', '{"a":1,"a":2}', '{"a":{"b":1,"b":2}}', '{"a":1} x', "null", "[1]", '{"a":"\\ud800"}', '{"b":1}', None, ""]
+    assert said(spark, [(t,) for t in texts], "t string", V.strict_json("t", ("a",))) == [True] + [False] * 9
+
+
+def test_cursors(spark):
+    good = F.lit("0" * 32)
+    text = V.cursor_text(good, F.lit(5), F.lit(4), F.lit(3), F.lit(2), F.lit(-1).cast("bigint"), F.lit(7))
+    row = spark.range(1).select(text.alias("c")).select("c", V.cursor_fields("c").alias("f")).first()
+    assert len(row.c) == 150 and row.f.second == -1 and int(row.f.sequence) == 3 and row.f.nano == 7
+    assert said(spark, [("v3.x",), (row.c.replace("v3", "v2"),), (row.c[:-1],), (None,)], "c string", V.cursor_fields("c")) == [None] * 4
+
+
+def test_results_and_limits(spark):
+    rows = [("ack", '{"acked":true}'), ("ack", '{"acked":false}'), ("enqueue", '{"message":{"id":"m"}}'), ("enqueue", '{"message":{"id":""}}'), ("receive", "{}"), ("other", "{}"), ("receive", "{")]
+    assert said(spark, rows, "o string, r string", V.result_shape_valid("o", "r")) == [True, False, True, False, True, False, False]
+    assert V.page_limit(None) == 100 and V.page_limit(7) == 7
+    with pytest.raises(ValueError):
+        V.page_limit(1001)
+
+
+def test_service(spark, tmp_path):
+    service = QueueService(spark, f"file://{tmp_path}/service")
+    service.create_queue("jobs", max_deliveries=1)
+    with pytest.raises(QueueError, match="conflict"):
+        service.create_queue("jobs")
+    with pytest.raises(QueueError, match="not_found"):
+        service.enqueue("none", T0)
+    first = service.enqueue("jobs", T0, '{"n":1}')
+    service.enqueue("jobs", T0, '{"n":2}')
+    delivery = service.receive("jobs", T0)
+    service.submit()
+    service.nack("jobs", T0 + timedelta(seconds=1), delivery, reason="no")
+    service.redrive("jobs", T0 + timedelta(seconds=2), first, "again")
+    outcomes = {r.op_seq: r for r in service.submit().collect()}
+    assert outcomes[4].state == "dead" and outcomes[5].message_id == "m5"
+    now = T0 + timedelta(seconds=3)
+    row = service.get_queue("jobs", now).first()
+    assert (row.ready, row.dead, row.total) == (2, 1, 3)
+    assert [r.sequence for r in service.list_dead_letters("jobs", now).collect()] == [1]
+    assert service.stats(now).first().queues == 1
+    assert service.compact(now).count() == 3

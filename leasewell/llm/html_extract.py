@@ -130,6 +130,7 @@ def trained(pages: int = TRAINING_PAGES) -> BoostedTrees:
 
 def main_text(pages: DataFrame, html: str = "html", out: str = "text", model: BoostedTrees | None = None) -> DataFrame:
     """pages without their html, with their main text."""
+    pages = pages.drop(out) if out != html else pages
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     names = [c for c in pages.columns if c != html]
 

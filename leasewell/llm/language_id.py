@@ -37,10 +37,10 @@ MOST_LANGUAGES = 200
 LETTERS = 46
 STRETCH = 256
 UNKNOWN = "und"
-#: A parse that costs more bits a symbol than this has found no language (random letters cost about 4.7).
-REJECT_BITS = 4.4
+#: A parse that costs more bits a symbol than this has found no language (random letters cost about 5.5).
+REJECT_BITS = 5.2
 #: Symbols a text needs before its cost can reject it.
-REJECT_SYMBOLS = 40
+REJECT_SYMBOLS = 100
 
 _MISS = np.uint32(1 << 31)
 
@@ -160,8 +160,9 @@ def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -
 
 
 def identify(docs: DataFrame, parser: CrossParser, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1: by how much the best language undercuts the next), bits (per symbol)
-    and symbols."""
+    """docs without the text, with lang_pred, score (0 to 1: by how much the best language undercuts the next), bits
+    (per symbol) and symbols, in the place of columns of these names."""
+    docs = docs.drop("lang_pred", "score", "bits", "symbols")
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     fields = docs.schema.fieldNames()
 
@@ -210,5 +211,6 @@ def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """The documents in a learned language, with all their columns: those without letters go, and those whose
     parse costs more than ``REJECT_BITS`` a symbol over at least ``REJECT_SYMBOLS`` symbols."""
     parser = CrossParser(sampled(docs, doc_id, text, lang, ~held_out(doc_id) & F.col(doc_id).isNotNull()))
-    rows = identify(docs.withColumn("_text", F.col(text)), parser, "_text")
-    return rows.where((F.col("lang_pred") != UNKNOWN) & ~((F.col("bits") > REJECT_BITS) & (F.col("symbols") >= REJECT_SYMBOLS))).select(docs.columns)
+    rows = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), parser)
+    lost = (F.col("bits") > REJECT_BITS) & (F.col("symbols") >= REJECT_SYMBOLS)
+    return rows.where((F.col("lang_pred") != UNKNOWN) & ~lost).select("row.*")

@@ -35,7 +35,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 50256
 WIDTH = 2048
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20
 
 SCHEMA = "shard int, row int, n_ids int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>"
 

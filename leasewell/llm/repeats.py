@@ -340,11 +340,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents with repeated passages cut from their texts (whole characters only) and ``n_chars`` to match;
     those of which nothing is left go."""
     names = docs.columns
+    found = next(f"_spans{k}" for k in range(len(names) + 1) if f"_spans{k}" not in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for value, spans in zip(batch.column(text), batch.column("_spans"), strict=True):
+            for value, spans in zip(batch.column(text), batch.column(found), strict=True):
                 begin, end = merged_spans(spans)
                 if not value.is_valid or not len(begin):
                     texts.append(value.as_py())
@@ -364,7 +365,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             cut = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names)
             yield cut.filter(pa.array(keep, pa.bool_()))
 
-    spans = repeated_spans(docs, doc_id, text).withColumnsRenamed({"doc_id": doc_id, "spans": "_spans"})
+    spans = repeated_spans(docs, doc_id, text).withColumnsRenamed({"doc_id": doc_id, "spans": found})
     schema = docs.schema
-    cut = docs.join(spans, doc_id, "left").select(*names, "_spans").mapInArrow(run, schema)
+    cut = docs.join(spans, doc_id, "left").select(*names, found).mapInArrow(run, schema)
     return cut.withColumn(n_chars, F.length(text).cast(schema[n_chars].dataType)) if n_chars in names else cut

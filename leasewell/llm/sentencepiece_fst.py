@@ -258,10 +258,12 @@ def _model_bytes(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with ids (array of piece ids), n_ids and round_trip (whether decoding the ids gives the text again).
+    """docs with ids (array of piece ids), n_ids and round_trip (whether decoding the ids gives the text again), in
+    the place of columns of these names.
 
     The model file is read by the driver and sent to the tasks; its size does not depend on the data.
     """
+    docs = docs.drop("ids", "n_ids", "round_trip")
     shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))
     names = docs.columns
 
@@ -284,6 +286,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """rows with the text of their ids."""
+    rows = rows.drop(out)
     shared = rows.sparkSession.sparkContext.broadcast(_model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

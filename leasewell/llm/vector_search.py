@@ -42,7 +42,7 @@ def integer_vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def _block_search(k: int, shift: int):
@@ -54,16 +54,18 @@ def _block_search(k: int, shift: int):
         q_id, v_id = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         order = np.argsort(v_id)
         v, v_id = v[order], v_id[order]
-        low = np.floor_divide(v, 1 << shift) * (1 << shift)
-        small = np.abs(q).sum(axis=1).max(initial=0) * (np.abs(low).max(initial=0) + 1) < 2**23
-        kind = np.float32 if small else np.float64  # exact for these sums
+        low = v >> shift << shift
+        size = np.abs(q).sum(axis=1, dtype=np.float64)
+        largest = size * (np.abs(low).max(initial=0) + 1.0)
+        kind = np.float32 if largest.max(initial=0) < 2**23 else np.float64
+        unsure = np.where(largest < 2**23, 0, largest * 2.0**-44)  # rounding of the product, which is exact below
         base = q.astype(kind) @ low.astype(kind).T
         own = np.searchsorted(v_id, q_id)
         held = own < len(v_id)
         held[held] = v_id[own[held]] == q_id[held]
         base[np.flatnonzero(held), own[held]] = -np.inf
         width = (1 << shift) - 1
-        above, below = width * np.clip(q, 0, None).sum(axis=1), width * np.clip(-q, 0, None).sum(axis=1)
+        above, below = (width * np.clip(side, 0, None).sum(axis=1, dtype=np.float64) + unsure for side in (q, -q))
         n = min(k, base.shape[1])
         kth = np.partition(base, base.shape[1] - n, axis=1)[:, base.shape[1] - n]
         out = []
@@ -71,7 +73,7 @@ def _block_search(k: int, shift: int):
             may = np.flatnonzero(base[i] + above[i] >= kth[i] - below[i])
             may = may[np.isfinite(base[i, may])]
             may = may[np.argsort(-base[i, may], kind="stable")]
-            ids, scores = np.zeros(0, np.int64), np.zeros(0)
+            ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for at in range(0, len(may), READ):
                 if len(scores) >= k and base[i, may[at]] + above[i] < scores[k - 1]:
                     break
@@ -79,7 +81,7 @@ def _block_search(k: int, shift: int):
                 ids, scores = np.concatenate([ids, v_id[some]]), np.concatenate([scores, v[some] @ q[i]])
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
-            out.append((np.full(len(ids), q_id[i]), ids, scores.astype(np.int64)))
+            out.append((np.full(len(ids), q_id[i]), ids, scores))
         return pa.table({c: pa.array(np.concatenate(x).astype(np.int64)) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     return run

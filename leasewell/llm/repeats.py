@@ -16,9 +16,12 @@ is repeated.  Strings are judged on the input.
    without touching suffixes.  Boundaries that appear in round k mark a common prefix of k - 1 words; after five
    rounds the intervals without a boundary hold the suffixes that share 100 bytes.  All but the first string of an
    interval are repeated.
-5. The spans of each text are collected (bounded by its length) and joined to it.
+5. *Hot grams.*  A gram with more than ``HOT_FRAGMENTS`` different fragments (a common line before different text) would
+   gather in one task.  Its strings are dealt by their own bytes instead, one row a string, and all but the first of
+   equal ones are repeated: a pre-aggregated minimum, so no group is held whole.
+6. The spans of each text are collected (bounded by its length) and joined to it.
 
-Grams, fragments and words are compared by 64-bit hashes (a fragment by two of them).
+Grams, fragments and words are compared by 64-bit hashes (fragments and strings of hot grams by two of them).
 
 Defined cases: a null or short text has no repeats; a row with a null id takes no part and keeps all; rows that
 repeat id and text count as one text; an empty table gives no rows.
@@ -43,6 +46,8 @@ GRAM = 24
 #: Bytes in a symbol of the transforms; LENGTH is a multiple.
 WORD = 20
 SHARD_BYTES = 1 << 16
+#: Different fragments of a gram that one task merges.
+HOT_FRAGMENTS = 2_000
 BATCH_BYTES = 1 << 19
 _SLICE = 1 << 18
 
@@ -99,53 +104,67 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A stream sorted by gram, fragment and place -> repeated fragments (gram null) and those of grams with several."""
-    names = ["doc_id", "start", "n", "gram"]
-    gram_before = whole_before = place_before = pending = None
+    """A stream sorted by gram, fragment and place -> repeated fragments (gram null) and those of grams with several.
+
+    The first fragments of the gram at which a batch ends are kept back, at most HOT_FRAGMENTS of them.
+    """
+    hot_gram = before = None
+    kept = [np.zeros(0, np.int64) for _ in range(4)]  # gram, id, start, number
     for batch in batches:
         again, gram, whole, ids, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if again.any():
-            yield _rows(ids[again], start[again], n[again], None, names)
+            yield _rows(ids[again], start[again], n[again])
             gram, whole, ids, start, n = (x[~again] for x in (gram, whole, ids, start, n))
         if not len(gram):
             continue
-        new = np.ones(len(gram), bool)
+        new, moved = np.ones(len(gram), bool), np.ones(len(gram), bool)  # another fragment; not the same row again
         new[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
-        new[0] = (gram[0], whole[0]) != (gram_before, whole_before)
-        moved = np.ones(len(gram), bool)  # not the same row once more
         moved[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])
-        moved[0] = (ids[0], start[0]) != place_before
+        if before is not None:
+            new[0], moved[0] = (gram[0], whole[0]) != before[:2], (ids[0], start[0]) != before[2:]
+        before = gram[-1], whole[-1], ids[-1], start[-1]
         old = ~new & moved
         if old.any():
-            yield _rows(ids[old], start[old], n[old], None, names)
-        rep = np.flatnonzero(new)
-        if len(rep):
-            g = gram[rep]
-            run = np.concatenate([[True], g[1:] != g[:-1]])
-            number = np.cumsum(run) - 1
-            size = np.bincount(number)
-            several = size[number] > 1
-            if g[0] == gram_before:
-                several[number == 0] = True
-                if pending is not None:
-                    yield _rows(*pending, names)
-                    pending = None
-            else:
-                pending = None
-            if size[-1] == 1 and not several[-1]:
-                k = rep[-1:]
-                pending = (ids[k], start[k], n[k], gram[k])
-            elif several[-1]:
-                pending = None
-            keep = rep[several]
-            if len(keep):
-                yield _rows(ids[keep], start[keep], n[keep], gram[keep], names)
-        gram_before, whole_before, place_before = gram[-1], whole[-1], (ids[-1], start[-1])
-
-
-def _rows(ids, start, n, gram, names) -> pa.RecordBatch:
+            yield _rows(ids[old], start[old], n[old])
+        rows = [np.concatenate([x, y[new]]) for x, y in zip(kept, (gram, ids, start, n), strict=True)]
+        if not len(rows[0]):
+            continue
+        first = np.flatnonzero(np.diff(rows[0], prepend=~rows[0][:1]))
+        size = np.diff(np.append(first, len(rows[0])))
+        hot = (size > HOT_FRAGMENTS) | (rows[0][first] == hot_gram)
+        emit = (size > 1) | hot
+        last = first[-1]
+        if hot[-1]:
+            hot_gram, last = rows[0][-1], len(rows[0])
+        else:
+            emit[-1] = False
+        emit, hot = np.repeat(emit, size), np.repeat(hot, size)
+        if emit.any():
+            yield _rows(*(x[emit] for x in rows[1:]), rows[0][emit], hot[emit])
+        kept = [x[last:] for x in rows]
+    if len(kept[0]) > 1:
+        yield _rows(*kept[1:], kept[0], np.zeros(len(kept[0]), bool))
+
+
+def _rows(ids, start, n, gram=None, hot=None) -> pa.RecordBatch:
     grams = pa.nulls(len(ids), pa.int64()) if gram is None else pa.array(gram)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(n), grams], names)
+    hots = pa.nulls(len(ids), pa.bool_()) if hot is None else pa.array(hot)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(n), grams, hots], ["doc_id", "start", "n", "gram", "hot"])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments -> their strings as two hashes and a place."""
+    for batch in batches:
+        for part in slices(batch, "bytes", _SLICE):
+            data, ids, start = part.column("bytes").to_pylist(), part.column("doc_id").to_numpy(), part.column("start").to_numpy()
+            joined = np.frombuffer(b"".join(data), np.uint8)
+            size = np.array([len(x) for x in data])
+            many = size - LENGTH + 1
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = np.repeat(np.cumsum(size) - size, many) + inside
+            first = range_hash(prefix_hash(joined), at, at + LENGTH)
+            second = range_hash(prefix_hash(joined ^ np.uint8(0x5A)), at, at + LENGTH)
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.repeat(ids, many)), pa.array(np.repeat(start, many) + inside)], ["h1", "h2", "doc_id", "start"])
 
 
 def shard_transform(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,16 +292,18 @@ def _pieces(rows: pa.Table) -> Iterator[pa.Table]:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their wanted fragments -> the fragments' bytes."""
     for batch in batches:
-        out: dict[str, list] = {"gram": [], "doc_id": [], "start": [], "bytes": []}
+        out: dict[str, list] = {"gram": [], "hot": [], "doc_id": [], "start": [], "bytes": []}
         for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
             data = memoryview(text.as_buffer())
             values = wanted.values
-            for gram, start, n in zip(*(values.field(c).to_numpy() for c in ("gram", "start", "n")), strict=True):
+            for gram, hot, start, n in zip(*(values.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "hot", "start", "n")), strict=True):
                 out["gram"].append(gram)
+                out["hot"].append(bool(hot))
                 out["doc_id"].append(doc_id)
                 out["start"].append(start)
                 out["bytes"].append(bytes(data[start : start + n + LENGTH - 1]))
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.array(out[c], np.int64)) for c in ("gram", "doc_id", "start")), pa.array(out["bytes"], pa.binary())], list(out))
+        gram, doc_id, start = (pa.array(np.array(out[c], np.int64)) for c in ("gram", "doc_id", "start"))
+        yield pa.RecordBatch.from_arrays([gram, pa.array(out["hot"], pa.bool_()), doc_id, start, pa.array(out["bytes"], pa.binary())], list(out))
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,13 +311,19 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and octet_length(text) >= 100")
     found = rows.mapInArrow(_fragments, "again boolean, gram long, whole long, doc_id long, start long, n long")
     dealt = found.repartition(F.when(F.col("again"), F.xxhash64("doc_id", "start")).otherwise(F.col("gram"))).sortWithinPartitions("again", "gram", "whole", "doc_id", "start")
-    marks = written(dealt.mapInArrow(_compared, "doc_id long, start long, n long, gram long"), "marks")
+    marks = written(dealt.mapInArrow(_compared, "doc_id long, start long, n long, gram long, hot boolean"), "marks")
 
-    wanted = marks.where("gram is not null").groupBy("doc_id").agg(F.collect_set(F.struct("gram", "start", "n")).alias("wanted"))
+    wanted = marks.where("gram is not null").groupBy("doc_id").agg(F.collect_set(F.struct("gram", "hot", "start", "n")).alias("wanted"))
     texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    fragments = texts.mapInArrow(_cut_out, "gram long, doc_id long, start long, bytes binary").repartition("gram").sortWithinPartitions("gram")
-    merged = fragments.mapInArrow(_merged, "doc_id long, start long, n long")
-    spans = marks.where("gram is null").select("doc_id", "start", "n").unionByName(merged)
+    fragments = written(texts.mapInArrow(_cut_out, "gram long, hot boolean, doc_id long, start long, bytes binary"), "fragments")
+    cold = fragments.where("not hot").repartition("gram").sortWithinPartitions("gram").select("gram", "doc_id", "start", "bytes")
+    merged = cold.mapInArrow(_merged, "doc_id long, start long, n long")
+
+    place = F.struct("doc_id", "start")
+    strings = written(fragments.where("hot").mapInArrow(_strings, "h1 long, h2 long, doc_id long, start long"), "strings")
+    first = written(strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-strings")
+    common = strings.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
+    spans = marks.where("gram is null").select("doc_id", "start", "n").unionByName(merged).unionByName(common)
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
 
 

@@ -211,7 +211,28 @@ def test_repeats_of_odd_rows(spark, odd, odd_rows):
     assert repeats.repeat_report(odd.limit(0)).count() == 0
 
 
-@settings(max_examples=25, deadline=None)
+def test_common_line_before_different_texts(spark, monkeypatch):
+    line = prose(50, 14)
+    rows = [(k, (line + "\n" if k % 3 else "") + prose(60 + k % 37, 40) + (" " + line if k % 5 else "") + prose(200 + k % 11, 30)) for k in range(150)]
+    frame, expected = spark.createDataFrame(rows, "doc_id long, text string"), brute.repeats(rows)
+    for most in (2, 2_000):  # with and without hot grams
+        monkeypatch.setattr(repeats, "HOT_FRAGMENTS", most)
+        monkeypatch.setattr(repeats, "_compared", _with_most(most))
+        got = {r[0]: r[1:] for r in pairs(repeats.repeat_report(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+        assert got == expected
+
+
+def _with_most(most):
+    original = repeats._compared
+
+    def run(batches):
+        repeats.HOT_FRAGMENTS = most  # in the worker
+        yield from original(part for batch in batches for part in (batch.slice(k, 7) for k in range(0, len(batch), 7)))
+
+    return run
+
+
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(90, 260), st.sampled_from(["", "x", "é", "zz"])), min_size=2, max_size=14))
 def test_shared_passages(spark, parts):
     sources = [prose(30 + k, 60) for k in range(4)]

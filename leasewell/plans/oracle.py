@@ -213,4 +213,11 @@ SQL = {
     "durations": """
         WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 9223372036800 + o_orderkey ELSE o_orderkey - 500 END AS ms FROM orders)
         SELECT k, CASE WHEN ms >= 0 AND ms <= 9223372036854 THEN ms * 1000 END AS us FROM t""",
+    "wal_records": "SELECT event_id + 1 AS lsn, props AS payload, CAST(NULL AS VARCHAR) AS error FROM events",
+    "store_recovery": _LOG + "SELECT entity AS key, lsn, value FROM f",
+    "strict_payloads": "SELECT event_id, event_id % 5 = 0 AS accepted, true AS utf8 FROM events",
+    "receipt_formats": _BASE + "SELECT sequence, true AS own, false AS next FROM m WHERE state = 'leased'",
+    "result_shapes": """
+        SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 3 = 0 WHEN 1 THEN event_id % 3 = 1 WHEN 2 THEN true ELSE event_id % 3 = 0 END AS valid FROM events""",
+    "time_addition": "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 >= 5 THEN o_orderdate + INTERVAL '1' DAY * (o_orderkey % 50 - 5) END AS at FROM orders",
 }

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from leasewell.functions import validation as V
 from leasewell.operators import audit, log, replay, state
 from leasewell.sources import fixtures as fx
+from leasewell.sources import wal
+from leasewell.sources.shared import scratch
+from leasewell.sources.store import Store
 
 PAGE = 50
 TOP_K = 3
@@ -281,5 +284,53 @@ def replay_positions(spark: SparkSession, sf: str) -> DataFrame:
     return replay.numbered(replay_outcomes(spark, sf))
 
 
-_QUERIES = [logical_state, select_candidate, reservation_order, topk_per_queue, queue_counts, service_stats, list_queues, get_queue, in_flight, next_event, list_messages_p1, list_messages_p2, list_dead_letters, delayed_schedule, materialize, compact, prune_retention, prune_idempotency, capacity_headroom, idempotency_outcomes, log_fold, snapshot_plus_tail, state_diff, lsn_gaps, log_positions, redrive_lineage, receipt_validity, lease_claims, invariant_audit, invariant_audit_broken, recovered_state_audit, delta_violations, idempotency_audit, enqueue_schedule, queue_admission, fingerprints, name_validation, cursor_scopes, reasons, durations, replay_outcomes, reservation_trace, replay_positions]
+def wal_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Events framed as log segments and read back."""
+    rows = fx.table(spark, sf, "events").select((F.col("event_id") + 1).alias("lsn"), F.col("props").alias("payload"))
+    found = wal.decoded(wal.encoded(rows))
+    return found.select(F.col("lsn").cast("bigint").alias("lsn"), F.col("payload").cast("string").alias("payload"), "error")
+
+
+def store_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """The change log appended to a store in three batches with a compaction between, read by a second store."""
+    rows = fx.change_log(spark, sf).select(F.col("lsn").alias("op_seq"), F.col("entity").alias("key"), "deleted", "value")
+    path = scratch(spark, "store")
+    store = Store(spark, path)
+    part = F.floor(F.col("op_seq") * 3 / (rows.count() + 1))
+    store.append(rows.where(part == 0), "first")
+    store.append(rows.where(part == 1), "second")
+    store.append(rows.where(part == 1), "second")
+    store.compact()
+    store.append(rows.where(part == 2), "third")
+    return Store(spark, path).state()
+
+
+def strict_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties of events as request bodies, some of them damaged."""
+    k = F.col("event_id")
+    text = F.when(k % 5 == 1, F.concat("props", F.lit(" {}"))).when(k % 5 == 2, F.lit('{"k": 1, "k": 2}')).when(k % 5 == 3, F.lit("[1]")).when(k % 5 == 4, F.lit('{"other": 1}')).otherwise(F.col("props"))
+    return fx.table(spark, sf, "events").select("event_id", text.alias("body")).select("event_id", V.strict_json("body", ("k",)).alias("accepted"), V.utf8_valid("body").alias("utf8"))
+
+
+def receipt_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts of messages against their id and epoch, and against the next epoch."""
+    rows = fx.receipts(spark, sf).join(fx.messages(spark, sf).select("queue", "message_id", "sequence", "lease_epoch"), ["queue", "message_id"])
+    return rows.withColumn("later", F.col("lease_epoch") + 1).select("sequence", V.receipt_valid("receipt", "message_id", "lease_epoch").alias("own"), V.receipt_valid("receipt", "message_id", "later").alias("next"))
+
+
+def result_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored results of events, by operation."""
+    k = F.col("event_id")
+    operation = F.element_at(F.array(*map(F.lit, ["enqueue", "ack", "receive", "nack"])), (k % 4 + 1).cast("int"))
+    result = F.when(k % 3 == 0, F.concat(F.lit('{"message":{"id":"m'), k.cast("string"), F.lit('"}}'))).when(k % 3 == 1, F.lit('{"acked":true}')).otherwise(F.lit('{"message":{"id":""}}'))
+    return fx.table(spark, sf, "events").select("event_id", operation.alias("operation"), result.alias("result")).select("event_id", V.result_shape_valid("operation", "result").alias("valid"))
+
+
+def time_addition(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates plus days, some of them negative."""
+    k = F.col("o_orderkey")
+    return fx.table(spark, sf, "orders").select(k.alias("k"), V.added(F.col("o_orderdate"), (k % 50 - 5) * 86_400_000_000).alias("at"))
+
+
+_QUERIES = [logical_state, select_candidate, reservation_order, topk_per_queue, queue_counts, service_stats, list_queues, get_queue, in_flight, next_event, list_messages_p1, list_messages_p2, list_dead_letters, delayed_schedule, materialize, compact, prune_retention, prune_idempotency, capacity_headroom, idempotency_outcomes, log_fold, snapshot_plus_tail, state_diff, lsn_gaps, log_positions, redrive_lineage, receipt_validity, lease_claims, invariant_audit, invariant_audit_broken, recovered_state_audit, delta_violations, idempotency_audit, enqueue_schedule, queue_admission, fingerprints, name_validation, cursor_scopes, reasons, durations, replay_outcomes, reservation_trace, replay_positions, wal_records, store_recovery, strict_payloads, receipt_formats, result_shapes, time_addition]
 QUERIES = {f.__name__: f for f in _QUERIES}

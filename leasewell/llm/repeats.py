@@ -17,8 +17,8 @@ is repeated.  Strings are judged on the input.
    rounds the intervals without a boundary hold the suffixes that share 100 bytes.  All but the first string of an
    interval are repeated.
 5. *Hot grams.*  A gram with more than ``HOT_FRAGMENTS`` different fragments (a common line before different text) would
-   gather in one task.  Its strings are dealt by their own bytes instead, one row a string, and all but the first of
-   equal ones are repeated: a pre-aggregated minimum, so no group is held whole.
+   gather in one task.  Its strings are dealt by their own bytes instead: a slice keeps the first of equal strings,
+   and of those all but the first are repeated (a pre-aggregated minimum), so no group is held whole.
 6. The spans of each text are collected (bounded by its length) and joined to it.
 
 Grams, fragments and words are compared by 64-bit hashes (fragments and strings of hot grams by two of them).
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -153,18 +154,36 @@ def _rows(ids, start, n, gram=None, hot=None) -> pa.RecordBatch:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments -> their strings as two hashes and a place."""
+    """Fragments -> the first of equal strings of a slice as two hashes and a place, and runs of the others (hashes
+    null), which are repeated whatever other slices hold."""
     for batch in batches:
-        for part in slices(batch, "bytes", _SLICE):
+        for part in slices(batch, "bytes"):
             data, ids, start = part.column("bytes").to_pylist(), part.column("doc_id").to_numpy(), part.column("start").to_numpy()
             joined = np.frombuffer(b"".join(data), np.uint8)
             size = np.array([len(x) for x in data])
             many = size - LENGTH + 1
-            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            at = np.repeat(np.cumsum(size) - size, many) + inside
-            first = range_hash(prefix_hash(joined), at, at + LENGTH)
-            second = range_hash(prefix_hash(joined ^ np.uint8(0x5A)), at, at + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.repeat(ids, many)), pa.array(np.repeat(start, many) + inside)], ["h1", "h2", "doc_id", "start"])
+            owner = np.repeat(np.arange(len(many)), many)
+            inside = np.arange(many.sum()) - (np.cumsum(many) - many)[owner]
+            at = (np.cumsum(size) - size)[owner] + inside
+            one = range_hash(prefix_hash(joined), at, at + LENGTH).view(np.int64)
+            two = range_hash(prefix_hash(joined ^ np.uint8(0x5A)), at, at + LENGTH).view(np.int64)
+            doc, place = ids[owner], start[owner] + inside
+            order = np.lexsort((place, doc, two, one))
+            first = np.ones(len(order), bool)
+            first[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+            lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+            again = np.zeros(len(order), bool)
+            again[order] = ~first & ((doc[lead] != doc[order]) | (place[lead] != place[order]))  # not the same place once more
+            keep = np.zeros(len(order), bool)
+            keep[order[first]] = True
+            edge = np.ones(len(order), bool)
+            edge[1:] = ~again[:-1] | (owner[1:] != owner[:-1])
+            begin = np.flatnonzero(again & edge)
+            length = np.diff(np.append(np.flatnonzero(edge | ~again), len(order)))[np.searchsorted(np.flatnonzero(edge | ~again), begin)]
+            none = pa.nulls(len(begin), pa.int64())
+            names = ["h1", "h2", "doc_id", "start", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(two[keep]), pa.array(doc[keep]), pa.array(place[keep]), pa.array(np.ones(keep.sum(), np.int64))], names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[begin]), pa.array(place[begin]), pa.array(length)], names)
 
 
 def shard_transform(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,10 +339,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     merged = cold.mapInArrow(_merged, "doc_id long, start long, n long")
 
     place = F.struct("doc_id", "start")
-    strings = written(fragments.where("hot").mapInArrow(_strings, "h1 long, h2 long, doc_id long, start long"), "strings")
-    first = written(strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-strings")
-    common = strings.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
-    spans = marks.where("gram is null").select("doc_id", "start", "n").unionByName(merged).unionByName(common)
+    strings = written(fragments.where("hot").mapInArrow(_strings, "h1 long, h2 long, doc_id long, start long, n long"), "strings")
+    first = written(strings.where("h1 is not null").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-strings")
+    common = strings.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "start", "n")
+    parts = [marks.where("gram is null"), merged, strings.where("h1 is null"), common]
+    spans = reduce(DataFrame.unionByName, [p.select("doc_id", "start", "n") for p in parts])
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
 
 

@@ -35,8 +35,8 @@ from leasewell.llm.arrowtext import slices
 
 #: Where the installed public tokenizers are; any SentencePiece model file will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Solved stretches a task keeps.
-KEPT_STRETCHES = 200_000
+#: Solved stretches in each of two generations that a process keeps.
+KEPT_STRETCHES = 150_000
 MARK = "▁"
 #: Model types and piece types of the file format (fixed values).
 UNIGRAM, BPE = 1, 2
@@ -107,7 +107,9 @@ class Transducer:
         self.split: dict[str, tuple[str, str] | None] = {}
         self.usable = {p for p in merges if self.halves(p)} if self.bpe else set()
         self.adjacent: dict[tuple[str, str], bool] = {}
+        #: solved stretches in two generations: what is used again outlives the full table it was in
         self.solved: dict[str, bytes] = {}
+        self.solved_before: dict[str, bytes] = {}
         joined = {c for p in self.lexicon if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in joined)
         marks_first = all(MARK not in p.lstrip(MARK) for p in self.lexicon)
@@ -186,7 +188,7 @@ class Transducer:
                     pair = last, piece
                     fits = adjacent.get(pair)
                     if fits is None:
-                        if len(adjacent) >= KEPT_STRETCHES:
+                        if len(adjacent) >= 2 * KEPT_STRETCHES:
                             adjacent.clear()
                         fits = adjacent[pair] = self.may_follow(last, piece)
                     if fits:
@@ -222,15 +224,18 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        found, out = self.solved, []
+        young, out = self.solved, []
         for stretch in self.stretch.findall(self.normalised(text)):
-            ids = found.get(stretch)
+            ids = young.get(stretch)
             if ids is None:
-                if len(found) >= KEPT_STRETCHES:
-                    found.clear()
-                ids = array("i", self.shortest_path(stretch)).tobytes()
+                ids = self.solved_before.get(stretch)
+                if ids is None:
+                    ids = array("i", self.shortest_path(stretch)).tobytes()
                 if len(stretch) <= 64:
-                    found[stretch] = ids
+                    if len(young) >= KEPT_STRETCHES:
+                        self.solved_before, self.solved = young, {}
+                        young = self.solved
+                    young[stretch] = ids
             out.append(ids)
         return b"".join(out)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leasewell.sources.shared import kept
+
 #: Log positions in a chunk: the most rows a task sorts together.
 LOG_CHUNK = 65_536
 
@@ -70,19 +72,20 @@ def idempotency_outcomes(requests: DataFrame, key: str = "key", order: str = "op
 
 
 def roots(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, root, depth) of a forest of (node, parent) edges by pointer jumping: a depth of n takes log2(n) joins.
+    """(node, root, depth) of a forest of (node, parent) edges by pointer jumping: a depth of n takes log2(n) joins,
+    each written to the shared folder.
 
     A parent without a row is taken as a root of its own.
     """
-    state = edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
+    state = kept(edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "lineage")
+    total = state.agg(F.sum("depth")).first()[0]
     for _ in range(most_rounds):
         above = state.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        jumped = state.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        jumped = jumped.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else jumped
-        moved = jumped.agg(F.sum("depth")).first()[0]
-        if moved == state.agg(F.sum("depth")).first()[0]:
+        state = kept(state.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "lineage")
+        moved = state.agg(F.sum("depth")).first()[0]
+        if moved == total:
             break
-        state = jumped
+        total = moved
     return state.select("node", F.col("up").alias("root"), "depth")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -18,3 +18,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         _own = _own or f"file://{tempfile.mkdtemp(prefix='leasewell-')}"
         folder = _own
     return f"{folder.rstrip('/')}/leasewell/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back: lineage ends here."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -117,3 +117,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got and all(batch[k] == v for k, v in got.items())
     ordered = spark.read.parquet(str(tmp_path / "in")).inputFiles()
     assert len(ordered) == 2
+
+
+def test_deadlines_of_a_stream(spark, tmp_path):
+    from leasewell.streaming.replay import deadlines
+
+    rows = [("q", T0 + timedelta(seconds=10 * k)) for k in range(12)] + [("q", T0 + timedelta(days=1))]
+    spark.createDataFrame(rows, "queue string, lease_until timestamp_ntz").selectExpr("queue", "CAST(lease_until AS timestamp) AS lease_until").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("queue string, lease_until timestamp").parquet(str(tmp_path / "in"))
+    query = deadlines(stream).writeStream.format("memory").queryName("deadlines").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.n for r in spark.table("deadlines").collect()) == [1, 6, 6]

@@ -66,7 +66,7 @@ def _shared(rows: DataFrame, column: str, rule: str) -> DataFrame:
 
 def audit(messages: DataFrame, queues: DataFrame, receipts: DataFrame, next_sequence: Column, through_lsn: Column) -> DataFrame:
     """(rule, violations) of a state."""
-    config = F.broadcast(queues.select("queue", "max_deliveries"))
+    config = queues.select("queue", "max_deliveries")
     held = receipts.select("queue", "message_id", "receipt")
     rows = messages.join(config, "queue", "left").join(held, ["queue", "message_id"], "left")
     orphan = receipts.join(messages.where("state = 'leased'").select("queue", "message_id"), ["queue", "message_id"], "left_anti")
@@ -90,15 +90,15 @@ def idempotency_rules(through_lsn: Column) -> dict[str, Column]:
 
 def audit_idempotency(records: DataFrame, queues: DataFrame, through_lsn: Column) -> DataFrame:
     """(rule, violations) of idempotency records."""
-    unknown = records.join(F.broadcast(queues.select("queue")), "queue", "left_anti").agg(F.count("*").alias("violations")).select(F.lit("record_queue").alias("rule"), "violations")
+    unknown = records.join(queues.select("queue"), "queue", "left_anti").agg(F.count("*").alias("violations")).select(F.lit("record_queue").alias("rule"), "violations")
     return _counted(records, idempotency_rules(through_lsn)).unionByName(unknown)
 
 
 def over_capacity(messages: DataFrame, queues: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """(rule, violations) of the limits: queues, messages, messages of a queue, leases."""
     per_queue = messages.groupBy("queue").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "leased").alias("leased"))
-    rows = per_queue.agg(F.sum("n").alias("n"), F.sum("leased").alias("leased"), F.count_if(F.col("n") > limits.messages_per_queue).alias("full"), F.count_if(F.col("leased") > limits.in_flight_per_queue).alias("busy"))
-    rows = rows.crossJoin(F.broadcast(queues.agg(F.count("*").alias("queues"))))  # one row each
+    both = per_queue.select("n", "leased", F.lit(0).alias("is_queue")).unionByName(queues.select(F.lit(1).alias("is_queue")), allowMissingColumns=True)
+    rows = both.agg(F.sum("n").alias("n"), F.sum("leased").alias("leased"), F.count_if(F.col("n") > limits.messages_per_queue).alias("full"), F.count_if(F.col("leased") > limits.in_flight_per_queue).alias("busy"), F.sum("is_queue").alias("queues"))
     rules = {"limit_queues": F.col("queues") > limits.queues, "limit_messages": F.col("n") > limits.messages, "limit_in_flight": F.col("leased") > limits.in_flight}
     direct = {"limit_messages_per_queue": F.col("full"), "limit_in_flight_per_queue": F.col("busy")}
     named = [F.struct(F.lit(k).alias("rule"), F.coalesce(v.cast("int"), F.lit(0)).cast("bigint").alias("violations")) for k, v in (rules | direct).items()]

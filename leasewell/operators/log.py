@@ -113,7 +113,7 @@ def delta_violations(changes: DataFrame, queues: DataFrame, next_sequence: DataF
     next_sequence: (lsn, next_sequence); one row a position.
     """
     both = changes.groupBy("lsn", "entity", "key").agg(F.count_if("deleted").alias("d"), F.count_if(~F.col("deleted")).alias("u")).where("d > 0 and u > 0").agg(F.count("*").alias("n")).withColumn("rule", F.lit("deleted_and_written"))
-    unknown = changes.join(F.broadcast(queues.select("queue")), "queue", "left_anti").agg(F.count("*").alias("n")).withColumn("rule", F.lit("unknown_queue"))
+    unknown = changes.join(queues.select("queue"), "queue", "left_anti").agg(F.count("*").alias("n")).withColumn("rule", F.lit("unknown_queue"))
     rows = next_sequence.withColumn("chunk", F.floor(F.col("lsn") / LOG_CHUNK))
     within = rows.withColumn("next", F.lead("next_sequence").over(Window.partitionBy("chunk").orderBy("lsn"))).where("next < next_sequence").select("lsn")
     ends = rows.groupBy("chunk").agg(F.min_by("next_sequence", "lsn").alias("first"), F.max_by("next_sequence", "lsn").alias("last")).withColumn("next", F.lead("first").over(Window.orderBy("chunk"))).where("next < last").select(F.col("chunk").alias("lsn"))

@@ -1,6 +1,7 @@
 """State-as-of-time queries: what a queue table says at an instant.
 
-Messages are facts, queues a dimension of at most ``Limits.queues`` rows (1,000), which is why it may be broadcast.
+Messages are facts, queues a dimension (at most ``Limits.queues`` rows, 1,000): a plain join, which Spark broadcasts by the
+size it measures and otherwise shuffles and splits where a queue is hot.
 Per-queue results are aggregates with partial aggregation, so a queue that holds a third of all messages costs its
 tasks one row each; ranks are computed in chunks of the dense sequence so that no task sorts a whole queue.
 """
@@ -24,7 +25,7 @@ def instant(text: str) -> Column:
 def with_config(messages: DataFrame, queues: DataFrame) -> DataFrame:
     """Messages with the settings of their queue (inner: a message of no queue is none)."""
     config = queues.select("queue", "ordering", "priority_enabled", "max_deliveries")
-    return messages.join(F.broadcast(config), "queue")
+    return messages.join(config, "queue")
 
 
 def logical_state(now: Column) -> Column:
@@ -105,7 +106,7 @@ def list_queues(messages: DataFrame, queues: DataFrame, now: Column) -> DataFram
     """All queues with their settings and counts, by name."""
     counts = queue_counts(messages, queues, now)
     filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("ready", "delayed", "in_flight", "dead", "acked", "total")]
-    return queues.join(F.broadcast(counts), "queue", "left").select("queue", "ordering", "priority_enabled", "max_deliveries", *filled).orderBy("queue")
+    return queues.join(counts, "queue", "left").select("queue", "ordering", "priority_enabled", "max_deliveries", *filled).orderBy("queue")
 
 
 def get_queue(messages: DataFrame, queues: DataFrame, now: Column, name: str) -> DataFrame:
@@ -115,11 +116,11 @@ def get_queue(messages: DataFrame, queues: DataFrame, now: Column, name: str) ->
 
 
 def service_stats(messages: DataFrame, queues: DataFrame, now: Column) -> DataFrame:
-    """Counts of the whole service."""
-    totals = with_logical_state(messages, queues, now).agg(*count_columns())
-    head = queues.agg(F.count("*").alias("queues"))
-    last = messages.agg(F.coalesce(F.max("last_lsn"), F.lit(0)).alias("durable_lsn"))
-    return totals.crossJoin(F.broadcast(head)).crossJoin(F.broadcast(last))  # one row each
+    """Counts of the whole service: one aggregate over messages and queues together."""
+    rows = with_logical_state(messages, queues, now).select("logical_state", "last_lsn", F.lit(False).alias("is_queue"))
+    both = rows.unionByName(queues.select(F.lit(True).alias("is_queue")), allowMissingColumns=True)
+    states = count_columns()[:-1]
+    return both.agg(*states, F.count_if(~F.col("is_queue")).alias("total"), F.count_if("is_queue").alias("queues"), F.coalesce(F.max("last_lsn"), F.lit(0)).alias("durable_lsn"))
 
 
 def in_flight(messages: DataFrame, now: Column) -> DataFrame:

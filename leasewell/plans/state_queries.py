@@ -97,9 +97,10 @@ def prune_retention(spark: SparkSession, sf: str) -> DataFrame:
 def prune_idempotency(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed requests whose record still holds a day before the last request."""
     rows = fx.requests(spark, sf)
-    last = rows.agg((F.max("ts") - F.make_dt_interval(F.lit(1))).alias("now"))
+    last = rows.agg(F.max("ts")).first()[0]
+    now = F.lit(last).cast("timestamp_ntz") - F.make_dt_interval(F.lit(1))
     records = rows.select("op_seq", "key", (F.col("ts") + F.make_dt_interval(F.lit(1))).alias("expires_at"))
-    return state.prune_expired(records.crossJoin(F.broadcast(last)), F.col("now")).select("op_seq", "key", "expires_at")  # one row
+    return state.prune_expired(records, now)
 
 
 def capacity_headroom(spark: SparkSession, sf: str) -> DataFrame:

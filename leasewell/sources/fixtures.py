@@ -36,7 +36,7 @@ def messages(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     state = F.when(F.col("o_orderstatus") == "P", "leased").when(F.col("o_orderstatus") == "O", "ready").when(key % 10 == 0, "dead").otherwise("acked")
     base = (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             key.alias("k"),
             (key + 1).alias("sequence"),

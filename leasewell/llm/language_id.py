@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leasewell.llm.arrowtext import slices
 
@@ -159,21 +160,26 @@ def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -
     return {name: [t for _, t in sorted(found)] for name, found in samples.items()}
 
 
-def identify(docs: DataFrame, parser: CrossParser, text: str = "text") -> DataFrame:
-    """docs without the text, with lang_pred, score (0 to 1: by how much the best language undercuts the next), bits
-    (per symbol) and symbols, in the place of columns of these names."""
-    docs = docs.drop("lang_pred", "score", "bits", "symbols")
+#: What ``identify`` adds.
+ADDED = ("lang_pred", "score", "bits", "symbols")
+
+
+def identify(docs: DataFrame, parser: CrossParser, text: str = "text", added: tuple[str, ...] = ADDED, keep_text: bool = False) -> DataFrame:
+    """docs (without the text unless it is to be kept) with lang_pred, score (0 to 1: by how much the best language
+    undercuts the next), bits (per symbol) and symbols, under the names ``added`` and in the place of such columns."""
+    docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
-    fields = docs.schema.fieldNames()
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for part in slices(batch, text):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in fields if c != text), *_predict(own, part.column(text))], [*(c for c in fields if c != text), "lang_pred", "score", "bits", "symbols"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *_predict(own, part.column(text))], [*names, *added])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(run, kept + ", lang_pred string, score double, bits double, symbols long")
+    found = [T.StructField(name, kind) for name, kind in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
+    return docs.mapInArrow(run, T.StructType([*kept, *found]))
 
 
 def _predict(own: CrossParser, texts: pa.Array) -> list[pa.Array]:
@@ -211,6 +217,7 @@ def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """The documents in a learned language, with all their columns: those without letters go, and those whose
     parse costs more than ``REJECT_BITS`` a symbol over at least ``REJECT_SYMBOLS`` symbols."""
     parser = CrossParser(sampled(docs, doc_id, text, lang, ~held_out(doc_id) & F.col(doc_id).isNotNull()))
-    rows = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), parser)
-    lost = (F.col("bits") > REJECT_BITS) & (F.col("symbols") >= REJECT_SYMBOLS)
-    return rows.where((F.col("lang_pred") != UNKNOWN) & ~lost).select("row.*")
+    added = next(names for k in range(len(docs.columns) + 1) if not set(names := tuple("_" * k + c for c in ADDED)) & set(docs.columns))
+    rows = identify(docs, parser, text, added, keep_text=True)
+    language, _, bits, symbols = map(F.col, added)
+    return rows.where((language != UNKNOWN) & ~((bits > REJECT_BITS) & (symbols >= REJECT_SYMBOLS))).select(docs.columns)

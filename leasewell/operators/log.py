@@ -12,9 +12,10 @@ LOG_CHUNK = 65_536
 
 
 def latest(log: DataFrame, key: str = "entity", order: str = "lsn") -> DataFrame:
-    """The last change of every entity, tombstones included (a pre-aggregated maximum)."""
+    """The last change of every entity, tombstones included, by pre-aggregated maxima (without a sort where the
+    columns are numbers)."""
     rest = [c for c in log.columns if c not in (key, order)]
-    return log.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("last")).select(key, *(F.col(f"last.{c}").alias(c) for c in (order, *rest)))
+    return log.groupBy(key).agg(F.max(order).alias(order), *(F.max_by(c, order).alias(c) for c in rest))
 
 
 def fold(log: DataFrame, key: str = "entity", order: str = "lsn", deleted: str = "deleted") -> DataFrame:

@@ -64,9 +64,15 @@ def order_keys() -> list[Column]:
 
 
 def select_candidate(messages: DataFrame, queues: DataFrame, now: Column) -> DataFrame:
-    """The next message of each queue: one pre-aggregated minimum, no sort."""
-    best = F.min(F.struct(*order_keys(), "sequence", "priority", "delivery_count", "enqueued_at", "available_at")).alias("best")
-    return eligible(messages, queues, now).groupBy("queue").agg(best).select("queue", "best.sequence", "best.priority", "best.delivery_count", "best.enqueued_at", "best.available_at")
+    """The next message of each queue, by hash aggregation: the first of each priority, then the first of those.
+
+    A minimum of whole structs would make Spark sort every row before it aggregates; minima of numbers do not.
+    """
+    shown = ["sequence", "priority", "delivery_count", "enqueued_at", "available_at"]
+    rows = eligible(messages, queues, now).select("queue", *order_keys(), *shown)
+    by_priority = rows.groupBy("queue", "priority_key").agg(F.min("sequence_key").alias("first"), *(F.min_by(c, "sequence_key").alias(c) for c in shown))
+    best = by_priority.groupBy("queue").agg(F.min(F.struct("priority_key", "first", *shown)).alias("best"))
+    return best.select("queue", *(F.col(f"best.{c}").alias(c) for c in shown))
 
 
 def top_k(messages: DataFrame, queues: DataFrame, now: Column, k: int) -> DataFrame:

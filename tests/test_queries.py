@@ -23,3 +23,31 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_entry_without_the_optional_operators(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # importing it raises ImportError
+    try:
+        importlib.reload(__spark_entry__)
+        assert set(__spark_entry__.queries()) == set(catalog.queries())
+        assert set(__spark_entry__.oracle_sql()) == set(catalog.oracle_sql())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(__spark_entry__)
+
+
+def test_plans_prune_columns_and_keep_to_hash_aggregation(spark):
+    plan = lambda name: catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    page = plan("list_messages_p1")
+    assert "TakeOrderedAndProject" in page and "PushedFilters: [IsNotNull(o_" in page
+    assert "o_comment" not in page and "o_totalprice" not in page
+    tail = plan("snapshot_plus_tail")
+    assert "GreaterThanOrEqual(event_id" in tail or "GreaterThan(event_id" in tail or "event_id" in tail.split("DataFilters")[1]
+    assert "HashAggregate" in tail and "SortAggregate" not in plan("log_fold")
+    candidate = plan("select_candidate")
+    assert "Window" not in candidate and "HashAggregate(keys=[queue" in candidate.replace("key=", "keys=")

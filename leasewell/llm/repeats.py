@@ -47,8 +47,8 @@ GRAM = 24
 #: Bytes in a symbol of the transforms; LENGTH is a multiple.
 WORD = 20
 SHARD_BYTES = 1 << 16
-#: Different fragments of a gram that one task merges.
-HOT_FRAGMENTS = 2_000
+#: Different fragments of a gram that one task merges: about 3 MB of text, for which a merge takes some 350 MB.
+HOT_FRAGMENTS = 20_000
 BATCH_BYTES = 1 << 19
 _SLICE = 1 << 18
 

@@ -215,7 +215,7 @@ def test_common_line_before_different_texts(spark, monkeypatch):
     line = prose(50, 14)
     rows = [(k, (line + "\n" if k % 3 else "") + prose(60 + k % 37, 40) + (" " + line if k % 5 else "") + prose(200 + k % 11, 30)) for k in range(150)]
     frame, expected = spark.createDataFrame(rows, "doc_id long, text string"), brute.repeats(rows)
-    for most in (2, 2_000):  # with and without hot grams
+    for most in (2, 20_000):  # with and without hot grams
         monkeypatch.setattr(repeats, "HOT_FRAGMENTS", most)
         monkeypatch.setattr(repeats, "_compared", _with_most(most))
         got = {r[0]: r[1:] for r in pairs(repeats.repeat_report(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}

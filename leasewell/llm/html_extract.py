@@ -17,6 +17,7 @@ own text; every row gives one row, repeated ones too.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,9 @@ def main_texts(sources: list[str | None], model: BoostedTrees) -> list[str]:
     return out
 
 
+@cache
 def trained(pages: int = TRAINING_PAGES) -> BoostedTrees:
-    """Trees fitted to generated pages."""
+    """Trees fitted to generated pages, once in a process."""
     read, labels = labelled_pages(pages)
     return BoostedTrees(features(read), labels.astype(float))
 

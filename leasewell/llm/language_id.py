@@ -2,8 +2,9 @@
 
 For every language a suffix automaton is built over a bounded sample of its labelled texts.  A text is parsed
 greedily into the longest phrases that occur in that sample; a language whose sample explains the text needs few
-phrases.  A phrase is a pointer into a sample of N symbols, so the phrases of a language cost ``c * log2(N)`` bits,
-and the language with the least cost per symbol wins (ties: the lesser name).
+phrases.  A phrase is one of the N places of the sample or one of the A symbols of the alphabet, which the sample may
+lack, so the phrases of a language cost ``c * log2(N + A)`` bits: a sample of a few symbols still costs log2(A) bits for
+each symbol that it does not explain.  The language with the least cost per symbol wins (ties: the lesser name).
 
 Texts are lower-cased and turned into symbols: the ``LETTERS`` most frequent letters of the samples each have a
 symbol, other letters share one, and every run of anything else is one space.  The automaton is a dense transition
@@ -102,10 +103,11 @@ class CrossParser:
             for state, own in enumerate(moves):
                 if own:
                     table[state, list(own)] = np.fromiter(own.values(), np.uint32) + np.uint32(base)
+            table[0] |= _MISS  # what follows an unseen symbol begins a phrase
             self.languages.append(name)
             self.first.append(base)
             tables.append(table)
-            sizes.append(max(2, len(symbols)))
+            sizes.append(len(symbols) + self.width)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32)
         self.bits = np.log2(sizes) if sizes else np.zeros(0)
 

@@ -191,6 +191,19 @@ def test_parse_equals_greedy_phrases():
     assert round(float(parser.costs(symbols, lengths)[0, 0] / parser.bits[0])) == phrases
 
 
+def test_a_label_with_one_short_text_wins_nothing(spark):
+    rng = np.random.default_rng(5)
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéñß "), 2000))
+    letters = {"a": prose(31, 3000), "b": prose(32, 3000, "zu wy fi ge hop jas qin".split())}
+    texts = [prose(33, 80), prose(34, 80, "zu wy fi ge hop jas qin".split()), noise]
+    for name, short in (("ok", "ok"), ("0", "a"), ("zz", "oh no")):
+        parser = language_id.CrossParser({**{k: [v] for k, v in letters.items()}, name: [short]})
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = language_id.identify(frame, parser).orderBy("doc_id").collect()
+        assert [r.lang_pred for r in rows[:2]] == ["a", "b"]
+        assert rows[2].bits > language_id.REJECT_BITS
+
+
 # ---- repeats
 
 

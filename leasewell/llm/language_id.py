@@ -6,11 +6,12 @@ phrases.  A phrase is one of the N places of the sample or one of the A symbols
 lack, so the phrases of a language cost ``c * log2(N + A)`` bits: a sample of a few symbols still costs log2(A) bits for
 each symbol that it does not explain.  The language with the least cost per symbol wins (ties: the lesser name).
 
-Texts are lower-cased and turned into symbols: the ``LETTERS`` most frequent letters of the samples each have a
-symbol, other letters share one, and every run of anything else is one space.  The automaton is a dense transition
-table in which a missing transition already holds the state after a new phrase has begun, so a parse is one table
-lookup per symbol; numpy walks many stretches of ``STRETCH`` symbols side by side (a phrase ends with its stretch).
-Every symbol of every text is parsed.
+Texts are lower-cased and turned into symbols: each letter of any script is its UTF-8 bytes, and every run of anything
+else is one space.  A symbol that a language's sample lacks costs log2(A) bits.  The automata travel as lists of
+transitions and are spread to dense transition tables, one column a byte of the sample, in groups of ``TABLE_CELLS``
+cells.  A missing transition already holds the state after a new phrase has begun, so a parse is one table lookup per
+symbol; numpy walks many stretches of ``STRETCH`` symbols side by side (a phrase ends with its stretch).  Every symbol
+of every text is parsed.
 
 The sample is bounded by parameters: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language, and
 ``MOST_LANGUAGES`` languages, taken in the order of a hash of the id.
@@ -21,7 +22,6 @@ everything is ``und``; every input row gives one row, repeated ones too.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +36,19 @@ from leasewell.llm.arrowtext import slices
 SAMPLE_ROWS = 200
 SAMPLE_SYMBOLS = 40_000
 MOST_LANGUAGES = 200
-LETTERS = 46
 STRETCH = 256
+#: Symbols that a sample may lack: the bytes.
+ALPHABET = 256
+#: Cells of the tables that a task holds at once (four bytes each).
+TABLE_CELLS = 24_000_000
 UNKNOWN = "und"
 #: A parse that costs more bits a symbol than this has found no language (random letters cost about 5.5).
 REJECT_BITS = 5.2
 #: Symbols a text needs before its cost can reject it.
 REJECT_SYMBOLS = 100
 
-_MISS = np.uint32(1 << 31)
+_MISS, _UNSEEN = np.uint32(1 << 31), np.uint32(1 << 30)
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -77,53 +81,80 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Suffix automata of all languages in one table."""
+    """Suffix automata of all languages."""
 
     def __init__(self, samples: dict[str, list[str]]):
         """samples: texts by language, in the order in which they are to be used."""
-        found = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        letters = sorted(found, key=lambda c: (-found[c], c))[:LETTERS]
-        self.code = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                self.code[c] = LETTERS + 1
-        for k, c in enumerate(letters):
-            self.code[ord(c)] = k + 1
-        self.width, self.languages, tables, sizes, self.first = LETTERS + 2, [], [], [], []
+        self.languages, self.moves, cells, sizes = [], [], [], []
         for name in sorted(samples):
             symbols = self.symbols(" ".join(samples[name]))[0][:SAMPLE_SYMBOLS]
             if not symbols.any():
                 continue
             moves = suffix_automaton(symbols.tolist())
-            base = sum(len(t) for t in tables)
-            table = np.full((len(moves), self.width), base, np.uint32)  # an unseen symbol is a phrase of its own
-            for symbol, to in moves[0].items():
-                table[:, symbol] = base + to
-            table |= _MISS
-            for state, own in enumerate(moves):
-                if own:
-                    table[state, list(own)] = np.fromiter(own.values(), np.uint32) + np.uint32(base)
-            table[0] |= _MISS  # what follows an unseen symbol begins a phrase
+            source = np.repeat(np.arange(len(moves), dtype=np.uint32), [len(own) for own in moves])
+            symbol = np.fromiter((c for own in moves for c in own), np.uint8, len(source))
+            target = np.fromiter((to for own in moves for to in own.values()), np.uint32, len(source))
             self.languages.append(name)
-            self.first.append(base)
-            tables.append(table)
-            sizes.append(len(symbols) + self.width)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32)
+            self.moves.append((len(moves), source, symbol, target))
+            cells.append(len(moves) * (len(np.unique(symbols)) + 1))
+            sizes.append(len(symbols) + ALPHABET)
         self.bits = np.log2(sizes) if sizes else np.zeros(0)
+        self.groups, held = [], TABLE_CELLS
+        for k, size in enumerate(cells):
+            if held + size > TABLE_CELLS:
+                self.groups.append([])
+                held = 0
+            self.groups[-1].append(k)
+            held += size
+        self.spread: list = [None, None]  # the group last used and its tables
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "spread": [None, None]}
+
+    def tables(self, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tables of a group in one (a state is the place of its row), the start states, and the columns of the bytes."""
+        if self.spread[0] == group:
+            return self.spread[1]
+        self.spread = [None, None]
+        tables, first, columns, base = [], [], np.zeros((len(self.groups[group]), 256), np.uint32), 0
+        for row, k in enumerate(self.groups[group]):
+            states, source, symbol, target = self.moves[k]
+            known = np.unique(symbol)
+            columns[row, known] = np.arange(1, len(known) + 1)
+            column, width = columns[row, symbol], len(known) + 1
+            to = np.uint32(base) + target * np.uint32(width)
+            start = np.full(width, np.uint32(base) | _MISS | _UNSEEN)
+            start[column[source == 0]] = to[source == 0] | _MISS
+            table = np.tile(start, (states, 1))
+            table[source, column] = to
+            table[0] |= _MISS  # what follows an unseen symbol begins a phrase
+            first.append(base)
+            tables.append(table.ravel())
+            base += table.size
+        self.spread = [group, (np.concatenate(tables), np.array(first, np.uint32), columns)]
+        return self.spread[1]
 
     def symbols(self, text: str, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of lower-cased texts joined, runs of spaces as one, and the number of symbols of each."""
-        code = self.code[np.frombuffer(text.lower().encode("utf-32-le") if lengths is None else text.encode("utf-32-le"), np.uint32)]
-        lengths = np.array([len(code)]) if lengths is None else lengths
+        text = text.lower() if lengths is None else text
+        code = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        begin = np.flatnonzero((code & 0xC0) != 0x80)
+        letter = _LETTER[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        code = np.where(np.repeat(letter, np.diff(np.append(begin, len(code)))), code, np.uint8(0))
+        lengths = np.array([len(begin)]) if lengths is None else lengths
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
-        edge = np.concatenate([[0], np.cumsum(lengths)])
+        edge = np.append(begin, len(code))[np.concatenate([[0], np.cumsum(lengths)])]
         keep[edge[:-1][lengths > 0]] = True
         total = np.concatenate([[0], np.cumsum(keep)])
         return code[keep], np.diff(total[edge])
 
     def costs(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Bits of each text (columns) under each language (rows)."""
+        return np.concatenate([np.zeros((0, len(lengths))), *(cost for _, cost in self.group_costs(symbols, lengths))])
+
+    def group_costs(self, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The first language of each group of languages, and the bits of each text under the languages of the group."""
         pieces = -(-lengths // STRETCH)
         owner = np.repeat(np.arange(len(lengths)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -132,21 +163,24 @@ class CrossParser:
         order = np.argsort(-size, kind="stable")
         owner, begin, size = owner[order], begin[order], size[order]
         active = np.searchsorted(-size, -np.arange(1, STRETCH + 1), "right")
-        state = np.repeat(np.array(self.first, np.uint32)[:, None], len(size), 1)
-        phrases = np.ones(state.shape, np.int32)
-        width, table, keep = np.uint32(self.width), self.table, ~_MISS
-        for k in range(STRETCH):
-            n = active[k]
-            if not n:
-                break
-            to = table[state[:, :n] * width + symbols[begin[:n] + k]]
-            state[:, :n] = to & keep
-            if k:
-                phrases[:, :n] += to >= _MISS
-        out = np.zeros((len(self.languages), len(lengths)))
-        for k in range(len(self.languages)):
-            out[k] = np.bincount(owner, phrases[k], len(lengths)) * self.bits[k]
-        return out
+        keep = ~(_MISS | _UNSEEN)
+        for group, members in enumerate(self.groups):
+            table, first, columns = self.tables(group)
+            state = np.repeat(first[:, None], len(size), 1)
+            phrases, unseen = np.ones(state.shape, np.int32), np.zeros(state.shape, np.int32)
+            for k in range(STRETCH):
+                n = active[k]
+                if not n:
+                    break
+                to = table[state[:, :n] + columns[:, symbols[begin[:n] + k]]]
+                state[:, :n] = to & keep
+                unseen[:, :n] += (to & _UNSEEN) > 0
+                if k:
+                    phrases[:, :n] += to >= _MISS
+            cost = np.empty((len(members), len(lengths)))
+            for row, k in enumerate(members):
+                cost[row] = np.bincount(owner, (phrases[row] - unseen[row]) * self.bits[k] + unseen[row] * np.log2(ALPHABET), len(lengths))
+            yield members[0], cost
 
 
 def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -> dict[str, list[str]]:
@@ -192,11 +226,13 @@ def _predict(own: CrossParser, texts: pa.Array) -> list[pa.Array]:
     known = (edge[end] - edge[end - lengths] > 0) & (len(own.languages) > 0)
     if not known.any():
         return [pa.array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts))), pa.array([None] * len(texts), pa.float64()), pa.array(lengths)]
-    cost = own.costs(symbols, lengths)
-    best = cost.argmin(axis=0)
-    least = cost.min(axis=0)
-    cost[best, np.arange(len(best))] = np.inf
-    second = cost.min(axis=0)
+    best, least, second = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.full(len(texts), np.inf)
+    for first, cost in own.group_costs(symbols, lengths):
+        top, low = cost.argmin(axis=0), cost.min(axis=0)
+        cost[top, np.arange(len(top))] = np.inf
+        second = np.minimum(np.maximum(least, low), np.minimum(second, cost.min(axis=0)))
+        best = np.where(low < least, first + top, best)
+        least = np.minimum(least, low)
     score = np.where(np.isfinite(second) & known, 1 - least / np.maximum(second, 1e-9), known * 1.0)
     names = np.array(own.languages, object)[best]
     names[~known] = UNKNOWN

@@ -204,6 +204,22 @@ def test_a_label_with_one_short_text_wins_nothing(spark):
         assert rows[2].bits > language_id.REJECT_BITS
 
 
+def test_languages_in_other_scripts(spark, monkeypatch):
+    latin = [chr(c) for c in (*range(97, 123), *range(0xE0, 0xF7), *range(0xF8, 0xFF))]
+    han, hangul = [[chr(c) for c in range(first, first + 150)] for first in (0x4E00, 0xAC00)]
+    greek, russian = [[chr(c) for c in range(first, first + 25)] for first in (0x3B1, 0x430)]
+    kinds = {"a": greek, "b": han, "c": hangul, "d": latin, "e": russian, "f": han[::-1][:75]}
+    samples = {name: [prose(k, 2500, letters)] for k, (name, letters) in enumerate(kinds.items())}
+    samples["d"] = [prose(40, 15_000, latin)]
+    frame = spark.createDataFrame([(k, prose(50 + k, 60, letters)) for k, letters in enumerate(kinds.values())], "doc_id long, text string")
+    rows = language_id.identify(frame, language_id.CrossParser(samples)).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows] == sorted(kinds)
+    monkeypatch.setattr(language_id, "TABLE_CELLS", 1)
+    parts = language_id.CrossParser(samples)
+    assert len(parts.groups) == len(kinds)
+    assert rows == language_id.identify(frame, parts).orderBy("doc_id").collect()
+
+
 # ---- repeats
 
 

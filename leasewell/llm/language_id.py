@@ -13,8 +13,9 @@ cells.  A missing transition already holds the state after a new phrase has begu
 symbol; numpy walks many stretches of ``STRETCH`` symbols side by side (a phrase ends with its stretch).  Every symbol
 of every text is parsed.
 
-The sample is bounded by parameters: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language, and
-``MOST_LANGUAGES`` languages, taken in the order of a hash of the id.
+The sample is bounded by parameters: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language, taken in
+the order of a hash of the id.  Every label with a letter in its sample is a language; their number is not bounded, and
+the time of a parse grows with it.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and null bits; without any labelled text
 everything is ``und``; every input row gives one row, repeated ones too.
@@ -22,7 +23,8 @@ everything is ``und``; every input row gives one row, repeated ones too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,6 @@ from leasewell.llm.arrowtext import slices
 
 SAMPLE_ROWS = 200
 SAMPLE_SYMBOLS = 40_000
-MOST_LANGUAGES = 200
 STRETCH = 256
 #: Symbols that a sample may lack: the bytes.
 ALPHABET = 256
@@ -83,11 +84,11 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 class CrossParser:
     """Suffix automata of all languages."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        """samples: texts by language, in the order in which they are to be used."""
+    def __init__(self, samples: dict[str, list[str]] | Iterable[tuple[str, list[str]]]):
+        """samples: texts by language, in the order in which they are to be used; as pairs, in the order of the names."""
         self.languages, self.moves, cells, sizes = [], [], [], []
-        for name in sorted(samples):
-            symbols = self.symbols(" ".join(samples[name]))[0][:SAMPLE_SYMBOLS]
+        for name, texts in sorted(samples.items()) if isinstance(samples, dict) else samples:
+            symbols = self.symbols(" ".join(texts))[0][:SAMPLE_SYMBOLS]
             if not symbols.any():
                 continue
             moves = suffix_automaton(symbols.tolist())
@@ -183,17 +184,14 @@ class CrossParser:
             yield members[0], cost
 
 
-def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -> dict[str, list[str]]:
-    """Texts by language: a bounded sample of the rows to learn from."""
+def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -> Iterator[tuple[str, list[str]]]:
+    """Every language, in the order of the names, with its texts: a bounded sample of the rows to learn from."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = rows.select(F.col(doc_id).alias("_id"), F.col(lang)).withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_n") <= SAMPLE_ROWS)
-    names = [r[0] for r in ids.select(lang).distinct().orderBy(lang).limit(MOST_LANGUAGES).collect()]
-    ids = ids.where(F.col(lang).isin(names)).select("_id", "_n")  # at most SAMPLE_ROWS * MOST_LANGUAGES rows
-    rows = rows.select(F.col(doc_id), F.col(text).substr(1, SAMPLE_SYMBOLS).alias("_t"), F.col(lang).alias("_l")).join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "inner")
-    samples: dict[str, list[tuple]] = {}
-    for r in rows.select("_l", "_n", "_t").toLocalIterator():
-        samples.setdefault(r[0], []).append((r[1], r[2]))
-    return {name: [t for _, t in sorted(found)] for name, found in samples.items()}
+    ids = rows.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_k")).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_n") <= SAMPLE_ROWS)
+    rows = rows.select(F.col(doc_id), F.col(text).substr(1, SAMPLE_SYMBOLS).alias("_t"), F.col(lang).alias("_l")).join(F.broadcast(ids), (F.col(doc_id) == F.col("_id")) & (F.col("_l") == F.col("_k")), "inner")
+    found = rows.select("_l", "_n", "_t").orderBy("_l", "_n", "_t").toLocalIterator()
+    for name, group in groupby(found, lambda r: r[0]):
+        yield name, [r[2] for r in group]
 
 
 #: What ``identify`` adds.

@@ -220,6 +220,16 @@ def test_languages_in_other_scripts(spark, monkeypatch):
     assert rows == language_id.identify(frame, parts).orderBy("doc_id").collect()
 
 
+def test_every_label_is_a_language(spark):
+    late = prose(61, 400, "zu wy fi ge hop jas qin".split())
+    labels = [(3 * k, f"l{k:03}", prose(k, 5)) for k in range(250)] + [(3 * k, "zz", late) for k in range(1000, 1010)]
+    labels += [(5000, None, prose(62, 60, "zu wy fi ge hop jas qin".split()))]
+    docs = spark.createDataFrame(labels, "doc_id long, lang string, text string")
+    parser = language_id.CrossParser(language_id.sampled(docs, "doc_id", "text", "lang", F.lit(True)))
+    assert parser.languages == [f"l{k:03}" for k in range(250)] + ["zz"]
+    assert [r.lang_pred for r in language_id.identify(docs.where("doc_id = 5000"), parser).collect()] == ["zz"]
+
+
 # ---- repeats
 
 

@@ -63,8 +63,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts (null: empty) and the offset of each text in them."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    """The bytes of all texts or byte strings (null: empty) and the offset of each in them."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     if data is None or not len(texts):

@@ -5,26 +5,31 @@ is repeated.  Strings are judged on the input.
 
 1. *Anchors.*  Every string of LENGTH bytes picks the 24-byte gram of least hash in it (leftmost on ties), so equal
    strings pick equal grams at equal places.  Neighbouring strings that pick the same gram are one *fragment*; a text
-   of n bytes is about n / 35 fragments, each known by the hash of its gram and of its bytes.
-2. *Equal fragments.*  A slice of texts keeps the first of equal fragments itself (so a text that makes up a third of
-   the corpus is a few rows from then on); the rest are sorted by gram and read as a stream: all but the first of
-   equal fragments repeat it as a whole.  What is left are grams with several different fragments.
-3. *Shards.*  The bytes of those fragments are fetched and dealt by gram.  A task cuts them into shards and builds the
-   Burrows-Wheeler transform of each, over the alphabet of 20-byte words read at every byte.
-4. *Merge.*  All shards of a batch are merged by iterative interleave refinement: the interleave of shards ordered by
+   of n bytes is about n / 39 fragments, each known by the hash of its gram and of its bytes.
+2. *Equal fragments* meet by the hash of their bytes: all but the first repeat it as a whole.  A slice of texts settles
+   its own beforehand, so a text that makes up a third of the corpus is a few rows a slice.  Only the first ones go on.
+3. *Groups.*  Fragments of one gram are a group; its size is a pre-aggregated count.  A fragment alone in its group
+   shares no string.  The others fetch their bytes.
+4. *Shards.*  Groups are dealt to tasks.  A task cuts their fragments into shards and builds the Burrows-Wheeler
+   transform of each, over the alphabet of 20-byte words read at every byte.
+5. *Merge.*  All shards of a batch are merged by iterative interleave refinement: the interleave of shards ordered by
    the first k words is turned into the one ordered by k + 1 words by dealing the transforms' symbols in its order,
    without touching suffixes.  Boundaries that appear in round k mark a common prefix of k - 1 words; after five
    rounds the intervals without a boundary hold the suffixes that share 100 bytes.  All but the first string of an
    interval are repeated.
-5. *Hot grams.*  A gram with more than ``HOT_FRAGMENTS`` different fragments (a common line before different text) would
-   gather in one task.  Its strings are dealt by their own bytes instead: a slice keeps the first of equal strings,
-   and of those all but the first are repeated (a pre-aggregated minimum), so no group is held whole.
-6. The spans of each text are collected (bounded by its length) and joined to it.
-
-Grams, fragments and words are compared by 64-bit hashes (fragments and strings of hot grams by two of them).
-
-Defined cases: a null or short text has no repeats; a row with a null id takes no part and keeps all; rows that
-repeat id and text count as one text; an empty table gives no rows.
+6. *Large groups* (a common line before different texts) are dealt more finely, never merged whole: strings of a group
+   in which the gram lies at about the same place share more than the gram, namely the bytes around it that each of
+   them must hold.  So the strings of a fragment are cut by the gram's place into half as wide ranges, and each part
+   belongs to the group of those shared bytes.  Steps 2 to 5 apply to the parts as they do to fragments; groups that
+   are still large are cut again.  A range of one place shares all 100 bytes, so seven cuts always suffice, and each
+   costs its fragments no more than two rows.
+7. The spans of each text are collected (bounded by its length) and joined to it.
+
+Grams, fragments and words are compared by 64-bit hashes (equal fragments by two of them).
+
+Defined cases: a null or short text has no repeats; a row with a null id takes no part and keeps all; rows that share
+an id but not the text are different texts, in the order of a hash of them (``xxhash64``); rows that repeat id and text
+count as one text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,15 +52,16 @@ GRAM = 24
 #: Bytes in a symbol of the transforms; LENGTH is a multiple.
 WORD = 20
 SHARD_BYTES = 1 << 16
-#: Different fragments of a gram that one task merges: about 3 MB of text, for which a merge takes some 350 MB.
-HOT_FRAGMENTS = 20_000
 BATCH_BYTES = 1 << 19
+#: Fragments of a group that a task merges (about BATCH_BYTES of text); larger groups are dealt more finely.
+GROUP_FRAGMENTS = 3_000
 _SLICE = 1 << 18
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Fragments of a slice of texts: hash of gram, hash of bytes, text, first start, number of starts."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    """Fragments of a slice of texts: hash of gram, hash of bytes, text, first start, number of starts, and the place of
+    the gram in the first string."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
     if len(data) < LENGTH:
         return none
     prefix = prefix_hash(data)
@@ -82,108 +88,121 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first, last = np.flatnonzero(edge), np.flatnonzero(last)
     text = np.searchsorted(offsets, first, "right") - 1
     whole = range_hash(prefix, first, last + LENGTH)
-    return gram[picked[first]], mix(whole ^ (picked[first] - first).astype(np.uint64)), text, first - offsets[text], last - first + 1
+    at = picked[first] - first
+    return gram[picked[first]], mix(whole ^ at.astype(np.uint64)), text, first - offsets[text], last - first + 1, at
+
+
+#: Fragments between the steps; bytes are null until they are needed.
+_FRAGMENTS = "gram long, whole long, doc_id long, key long, start int, n int, at int, bytes binary"
+_PLACE = ("doc_id", "key", "start")
+
+
+def _places(ids: np.ndarray, keys: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Numbers in the order of id, key and start; equal places have equal numbers."""
+    order = np.lexsort((keys, ids))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (keys[order[1:]] != keys[order[:-1]])
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.cumsum(new)
+    return (rank << 32) + start
+
+
+def _batch(columns: dict[str, np.ndarray], data: pa.Array | None = None, again: np.ndarray | None = None) -> pa.RecordBatch:
+    kinds = {"start": np.int32, "n": np.int32, "at": np.int32}
+    out = {} if again is None else {"again": pa.array(again)}
+    out |= {c: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(kinds.get(c, np.int64))) for c, v in columns.items()}
+    out["bytes"] = pa.nulls(len(columns["start"]), pa.binary()) if data is None else data
+    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+
+def _settled_inside(columns: dict[str, np.ndarray], data: pa.Array | None = None) -> pa.RecordBatch:
+    """Fragments with ``again``: True for all but the first of equal ones among them.  A place that is there twice is
+    kept once."""
+    place = _places(columns["doc_id"], columns["key"], columns["start"])
+    order = np.lexsort((place, columns["gram"], columns["whole"]))
+    same = np.zeros(len(order), bool)
+    same[1:] = (columns["whole"][order[1:]] == columns["whole"][order[:-1]]) & (columns["gram"][order[1:]] == columns["gram"][order[:-1]])
+    twice = np.zeros(len(order), bool)
+    twice[1:] = same[1:] & (place[order[1:]] == place[order[:-1]])
+    order, same = order[~twice], same[~twice]
+    back = np.argsort(order)  # in the order of the texts, which compresses well
+    order, same = order[back], same[back]
+    return _batch({c: v[order] for c, v in columns.items()}, None if data is None else data.take(pa.array(order)), same)
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
-            gram, whole, text, start, n = anchored(*utf8(part.column("text")))
-            if not len(gram):
-                continue
-            ids = part.column("doc_id").to_numpy()
-            rank = np.searchsorted(np.sort(ids), ids)
-            order = np.lexsort(((rank[text] << 32) | start, whole))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = whole[order[1:]] == whole[order[:-1]]
-            same = np.flatnonzero(again)
-            if len(same):  # the same text twice in a slice is one text
-                before = np.empty(len(order), np.int64)
-                before[order[1:]], before[order[0]] = order[:-1], order[0]
-                again[same] = (ids[text[same]] != ids[text[before[same]]]) | (start[same] != start[before[same]])
-            yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[text]), pa.array(start), pa.array(n)], ["again", "gram", "whole", "doc_id", "start", "n"])
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A stream sorted by gram, fragment and place -> repeated fragments (gram null) and those of grams with several.
-
-    The first fragments of the gram at which a batch ends are kept back, at most HOT_FRAGMENTS of them.
-    """
-    hot_gram = before = None
-    kept = [np.zeros(0, np.int64) for _ in range(4)]  # gram, id, start, number
-    for batch in batches:
-        again, gram, whole, ids, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if again.any():
-            yield _rows(ids[again], start[again], n[again])
-            gram, whole, ids, start, n = (x[~again] for x in (gram, whole, ids, start, n))
-        if not len(gram):
-            continue
-        new, moved = np.ones(len(gram), bool), np.ones(len(gram), bool)  # another fragment; not the same row again
-        new[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
-        moved[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])
-        if before is not None:
-            new[0], moved[0] = (gram[0], whole[0]) != before[:2], (ids[0], start[0]) != before[2:]
-        before = gram[-1], whole[-1], ids[-1], start[-1]
-        old = ~new & moved
-        if old.any():
-            yield _rows(ids[old], start[old], n[old])
-        rows = [np.concatenate([x, y[new]]) for x, y in zip(kept, (gram, ids, start, n), strict=True)]
-        if not len(rows[0]):
-            continue
-        first = np.flatnonzero(np.diff(rows[0], prepend=~rows[0][:1]))
-        size = np.diff(np.append(first, len(rows[0])))
-        hot = (size > HOT_FRAGMENTS) | (rows[0][first] == hot_gram)
-        emit = (size > 1) | hot
-        last = first[-1]
-        if hot[-1]:
-            hot_gram, last = rows[0][-1], len(rows[0])
-        else:
-            emit[-1] = False
-        emit, hot = np.repeat(emit, size), np.repeat(hot, size)
-        if emit.any():
-            yield _rows(*(x[emit] for x in rows[1:]), rows[0][emit], hot[emit])
-        kept = [x[last:] for x in rows]
-    if len(kept[0]) > 1:
-        yield _rows(*kept[1:], kept[0], np.zeros(len(kept[0]), bool))
-
-
-def _rows(ids, start, n, gram=None, hot=None) -> pa.RecordBatch:
-    grams = pa.nulls(len(ids), pa.int64()) if gram is None else pa.array(gram)
-    hots = pa.nulls(len(ids), pa.bool_()) if hot is None else pa.array(hot)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(n), grams, hots], ["doc_id", "start", "n", "gram", "hot"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments -> the first of equal strings of a slice as two hashes and a place, and runs of the others (hashes
-    null), which are repeated whatever other slices hold."""
+            gram, whole, text, start, n, at = anchored(*utf8(part.column("text")))
+            if len(gram):
+                ids, keys = (part.column(c).to_numpy()[text] for c in ("doc_id", "key"))
+                yield _settled_inside({"gram": gram, "whole": whole, "doc_id": ids, "key": keys, "start": start, "n": n, "at": at})
+
+
+def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stream sorted by fragment and place -> the first of equal fragments, and the others with a null gram."""
+    first = before = None  # fragment and place of the group's first row, place of the last row
     for batch in batches:
-        for part in slices(batch, "bytes"):
-            data, ids, start = part.column("bytes").to_pylist(), part.column("doc_id").to_numpy(), part.column("start").to_numpy()
-            joined = np.frombuffer(b"".join(data), np.uint8)
-            size = np.array([len(x) for x in data])
-            many = size - LENGTH + 1
-            owner = np.repeat(np.arange(len(many)), many)
-            inside = np.arange(many.sum()) - (np.cumsum(many) - many)[owner]
-            at = (np.cumsum(size) - size)[owner] + inside
-            one = range_hash(prefix_hash(joined), at, at + LENGTH).view(np.int64)
-            two = range_hash(prefix_hash(joined ^ np.uint8(0x5A)), at, at + LENGTH).view(np.int64)
-            doc, place = ids[owner], start[owner] + inside
-            order = np.lexsort((place, doc, two, one))
-            first = np.ones(len(order), bool)
-            first[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
-            lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-            again = np.zeros(len(order), bool)
-            again[order] = ~first & ((doc[lead] != doc[order]) | (place[lead] != place[order]))  # not the same place once more
-            keep = np.zeros(len(order), bool)
-            keep[order[first]] = True
-            edge = np.ones(len(order), bool)
-            edge[1:] = ~again[:-1] | (owner[1:] != owner[:-1])
-            begin = np.flatnonzero(again & edge)
-            length = np.diff(np.append(np.flatnonzero(edge | ~again), len(order)))[np.searchsorted(np.flatnonzero(edge | ~again), begin)]
-            none = pa.nulls(len(begin), pa.int64())
-            names = ["h1", "h2", "doc_id", "start", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(two[keep]), pa.array(doc[keep]), pa.array(place[keep]), pa.array(np.ones(keep.sum(), np.int64))], names)
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[begin]), pa.array(place[begin]), pa.array(length)], names)
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("again", "gram", "whole", *_PLACE, "n", "at")}
+        new = np.ones(len(batch), bool)
+        new[1:] = (columns["whole"][1:] != columns["whole"][:-1]) | (columns["gram"][1:] != columns["gram"][:-1])
+        moved = np.ones(len(batch), bool)
+        moved[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in _PLACE], axis=0)
+        own = lambda k, names: tuple(columns[c][k] for c in names)  # noqa: B023, E731
+        new |= columns["again"]
+        if first is not None and not columns["again"][0]:
+            new[0] = own(0, ("whole", "gram")) != first
+            moved[0] = own(0, _PLACE) != before
+        left = ~columns["again"]
+        if left.any():
+            last = int(np.flatnonzero(left)[-1])
+            first, before = own(last, ("whole", "gram")), own(last, _PLACE)
+        begin = new & left
+        old = columns["again"] | (~new & moved)
+        yield _batch({c: columns[c][begin] for c in ("gram", "whole", *_PLACE, "n", "at")}, batch.column("bytes").filter(pa.array(begin)))
+        names = ["gram", "whole", *_PLACE, "n", "at", "bytes"]
+        some = batch.filter(pa.array(old))
+        empty = {"gram": pa.int64(), "whole": pa.int64(), "bytes": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), empty[c]) if c in empty else some.column(c) for c in names], names)
+
+
+def _settled(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Fragments with ``again`` -> the repeated ones, and the first of equal ones in groups of several with the size of
+    their group.  The tables on both sides of the join are written or light, so that adaptive execution can split a
+    group with a third of all fragments."""
+    dealt = found.repartition(F.when(F.col("again"), F.xxhash64(*_PLACE)).otherwise(F.col("whole"))).sortWithinPartitions("again", "whole", "gram", *_PLACE)
+    marks = written(dealt.mapInArrow(_first_of_equal, _FRAGMENTS), name)
+    firsts = marks.where("gram is not null")
+    sizes = written(firsts.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-sizes")
+    return marks.where("gram is null").select(*_PLACE, "n"), firsts.join(sizes.hint("merge"), "gram")
+
+
+def _parts(level: int):
+    """Fragments -> their strings cut by the place of the gram into ranges of 77 / 2**level places; the gram of a part
+    becomes the hash of the bytes that all strings of the range share."""
+    width = -(-(LENGTH - GRAM + 1) >> level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "bytes", _SLICE):
+                data, offsets = utf8(rows.column("bytes"))
+                ids, keys, start, n, at = (rows.column(c).to_numpy().astype(np.int64) for c in (*_PLACE, "n", "at"))
+                top = at // width
+                many = top - (at - n + 1) // width + 1
+                owner = np.repeat(np.arange(len(many)), many)
+                low = (top[owner] - (np.arange(len(owner)) - (np.cumsum(many) - many)[owner])) * width
+                high = np.minimum(low + width - 1, LENGTH - GRAM)
+                begin, end = np.maximum(at[owner] - high, 0), np.minimum(at[owner] - low, n[owner] - 1)
+                base, prefix = offsets[:-1][owner], prefix_hash(data)
+                core = range_hash(prefix, base + at[owner] - low, base + at[owner] - high + LENGTH)
+                whole = range_hash(prefix, base + begin, base + end + LENGTH)
+                inside = at[owner] - begin
+                size = end - begin + LENGTH
+                text = data[np.repeat(base + begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                pieces = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())])
+                yield _settled_inside({"gram": mix(core ^ low.astype(np.uint64)), "whole": mix(whole ^ inside.astype(np.uint64)), "doc_id": ids[owner], "key": keys[owner], "start": start[owner] + begin, "n": end - begin + 1, "at": inside}, pieces)
+
+    return run
 
 
 def shard_transform(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +276,7 @@ def repeated_starts(data: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> n
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A stream of fragments sorted by gram -> repeated spans (doc_id, start, n)."""
+    """A stream of fragments sorted by gram -> repeated spans (doc_id, key, start, n)."""
     held: list[pa.RecordBatch] = []
     total = 0
 
@@ -265,17 +284,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         data = pc.cast(rows.column("bytes").combine_chunks(), pa.large_binary())
         offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-        joined, ids, start = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], rows.column("doc_id").to_numpy(), rows.column("start").to_numpy()
-        rank = np.searchsorted(np.unique(ids), ids)
+        joined, ids, keys, start = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], *(rows.column(c).to_numpy() for c in _PLACE)
         sizes = np.diff(offsets)
-        again = repeated_starts(joined, sizes, (rank << 32) + start)
+        again = repeated_starts(joined, sizes, _places(ids, keys, start))
         base = np.cumsum(sizes) - sizes
         edge = np.diff(again.astype(np.int8), prepend=0, append=0)
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(first):
             return None
         owner = np.searchsorted(base, first, "right") - 1
-        return pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(start[owner] + first - base[owner]), pa.array(last - first)], ["doc_id", "start", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(keys[owner]), pa.array((start[owner] + first - base[owner]).astype(np.int32)), pa.array((last - first).astype(np.int32))], [*_PLACE, "n"])
 
     for batch in batches:
         held.append(batch)
@@ -309,42 +327,50 @@ def _pieces(rows: pa.Table) -> Iterator[pa.Table]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their wanted fragments -> the fragments' bytes."""
+    """Texts with their wanted fragments -> those with their bytes and the size of their group."""
     for batch in batches:
-        out: dict[str, list] = {"gram": [], "hot": [], "doc_id": [], "start": [], "bytes": []}
-        for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
-            data = memoryview(text.as_buffer())
-            values = wanted.values
-            for gram, hot, start, n in zip(*(values.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "hot", "start", "n")), strict=True):
-                out["gram"].append(gram)
-                out["hot"].append(bool(hot))
-                out["doc_id"].append(doc_id)
-                out["start"].append(start)
-                out["bytes"].append(bytes(data[start : start + n + LENGTH - 1]))
-        gram, doc_id, start = (pa.array(np.array(out[c], np.int64)) for c in ("gram", "doc_id", "start"))
-        yield pa.RecordBatch.from_arrays([gram, pa.array(out["hot"], pa.bool_()), doc_id, start, pa.array(out["bytes"], pa.binary())], list(out))
-
-
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans) of the texts with repeats: unsorted, overlapping starts and numbers of repeated strings."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and octet_length(text) >= 100")
-    found = rows.mapInArrow(_fragments, "again boolean, gram long, whole long, doc_id long, start long, n long")
-    dealt = found.repartition(F.when(F.col("again"), F.xxhash64("doc_id", "start")).otherwise(F.col("gram"))).sortWithinPartitions("again", "gram", "whole", "doc_id", "start")
-    marks = written(dealt.mapInArrow(_compared, "doc_id long, start long, n long, gram long, hot boolean"), "marks")
-
-    wanted = marks.where("gram is not null").groupBy("doc_id").agg(F.collect_set(F.struct("gram", "hot", "start", "n")).alias("wanted"))
-    texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    fragments = written(texts.mapInArrow(_cut_out, "gram long, hot boolean, doc_id long, start long, bytes binary"), "fragments")
-    cold = fragments.where("not hot").repartition("gram").sortWithinPartitions("gram").select("gram", "doc_id", "start", "bytes")
-    merged = cold.mapInArrow(_merged, "doc_id long, start long, n long")
-
-    place = F.struct("doc_id", "start")
-    strings = written(fragments.where("hot").mapInArrow(_strings, "h1 long, h2 long, doc_id long, start long, n long"), "strings")
-    first = written(strings.where("h1 is not null").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-strings")
-    common = strings.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "start", "n")
-    parts = [marks.where("gram is null"), merged, strings.where("h1 is null"), common]
-    spans = reduce(DataFrame.unionByName, [p.select("doc_id", "start", "n") for p in parts])
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
+        texts, offsets = utf8(batch.column("text"))
+        wanted = batch.column("wanted")
+        values, many = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(batch)), many)
+        gram, start, n, at, size = (values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "start", "n", "at", "size"))
+        for first in range(0, len(owner), 4096):
+            part = slice(first, first + 4096)
+            length = n[part] + LENGTH - 1
+            base = offsets[:-1][owner[part]] + start[part]
+            end = np.cumsum(length)
+            data = texts[np.repeat(base - (end - length), length) + np.arange(end[-1])]
+            pieces = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(np.concatenate([[0], end]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            ids, keys = (batch.column(c).to_numpy()[owner[part]] for c in ("doc_id", "key"))
+            one = _batch({"gram": gram[part], "doc_id": ids, "key": keys, "start": start[part], "n": n[part], "at": at[part]}, pieces)
+            yield one.append_column("size", pa.array(size[part]))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, text): a text is known by its id and a hash."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP_FRAGMENTS) -> DataFrame:
+    """(doc_id, key, spans) of the texts with repeats, key being xxhash64 of the text: unsorted, overlapping starts and
+    numbers of repeated strings."""
+    rows = _keyed(docs, doc_id, text).where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
+    repeated, several = _settled(rows.mapInArrow(_fragments, f"again boolean, {_FRAGMENTS}"), "fragments")
+    wanted = several.groupBy("doc_id", "key").agg(F.collect_set(F.struct("gram", "start", "n", "at", "size")).alias("wanted"))
+    texts = rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted")
+    held = written(texts.mapInArrow(_cut_out, "gram long, doc_id long, key long, start int, n int, at int, bytes binary, size long"), "bytes")
+    spans = [repeated]
+    for level in range(1, 9):
+        small = held.where(F.col("size") <= group).repartition("gram").sortWithinPartitions("gram").select("gram", *_PLACE, "bytes")
+        spans.append(small.mapInArrow(_merged, "doc_id long, key long, start int, n int"))
+        large = held.where(F.col("size") > group)
+        if large.isEmpty():
+            break
+        repeated, several = _settled(large.mapInArrow(_parts(level), f"again boolean, {_FRAGMENTS}"), f"parts-{level}")
+        spans.append(repeated)
+        held = written(several, f"groups-{level}")
+    union = reduce(DataFrame.unionByName, spans)
+    return union.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def merged_spans(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +386,7 @@ def merged_spans(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def repeat_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeat_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP_FRAGMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,8 +404,7 @@ def repeat_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             size, removed, n, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    joined = rows.join(repeated_spans(docs, doc_id, text), "doc_id", "left").select("doc_id", "text", "spans")
+    joined = _keyed(docs, doc_id, text).join(repeated_spans(docs, doc_id, text, group), ["doc_id", "key"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -387,7 +412,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents with repeated passages cut from their texts (whole characters only) and ``n_chars`` to match;
     those of which nothing is left go."""
     names = docs.columns
-    found = next(f"_spans{k}" for k in range(len(names) + 1) if f"_spans{k}" not in names)
+    found, own = (next(f"_{c}{k}" for k in range(len(names) + 1) if f"_{c}{k}" not in names) for c in ("spans", "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,7 +437,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             cut = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names)
             yield cut.filter(pa.array(keep, pa.bool_()))
 
-    spans = repeated_spans(docs, doc_id, text).withColumnsRenamed({"doc_id": doc_id, "spans": found})
+    spans = repeated_spans(docs, doc_id, text).withColumnsRenamed({"doc_id": doc_id, "key": own, "spans": found})
     schema = docs.schema
-    cut = docs.join(spans, doc_id, "left").select(*names, found).mapInArrow(run, schema)
+    cut = docs.withColumn(own, F.xxhash64(text)).join(spans, [doc_id, own], "left").select(*names, found).mapInArrow(run, schema)
     return cut.withColumn(n_chars, F.length(text).cast(schema[n_chars].dataType)) if n_chars in names else cut

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import xxhash
+
 WORD = re.compile(r"\w+")
 
 
@@ -48,17 +50,29 @@ def contained(docs, items, threshold=0.8):
     return out
 
 
-def repeats(rows, length=100):
-    """{doc_id: (n_bytes, n_removed, n_spans, sha256)} by looking at every string."""
-    seen, out = set(), {}
-    for i, t in sorted(rows):
+def text_key(text):
+    """Spark's xxhash64 of a string (42 for null)."""
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def repeat_rows(rows, length=100):
+    """Sorted (doc_id, n_bytes, n_removed, n_spans, sha256) of every row, by looking at every string in the order of ids,
+    hashes of texts and starts; rows with a null id stand apart."""
+    seen, found = set(), {}
+    for i, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], text_key(r[1]))) + [r for r in rows if r[0] is None]:
         data = (t or "").encode()
         mark = bytearray(len(data))
-        for k in range(len(data) - length + 1):
+        for k in range(len(data) - length + 1) if i is not None else ():
             s = data[k : k + length]
             if s in seen:
                 mark[k : k + length] = b"\1" * length
             seen.add(s)
         kept = bytes(x for x, gone in zip(data, mark, strict=True) if not gone)
-        out[i] = (len(data), sum(mark), len([r for r in bytes(mark).split(b"\0") if r]), hashlib.sha256(kept).hexdigest())
-    return out
+        found[i, t] = (i, len(data), sum(mark), len([r for r in bytes(mark).split(b"\0") if r]), hashlib.sha256(kept).hexdigest())
+    return sorted((found[r] for r in rows), key=str)
+
+
+def repeats(rows, length=100):
+    """{doc_id: (n_bytes, n_removed, n_spans, sha256)} of rows with one text an id."""
+    return {r[0]: r[1:] for r in repeat_rows(rows, length)}

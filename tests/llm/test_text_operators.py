@@ -250,28 +250,34 @@ def test_repeats_of_odd_rows(spark, odd, odd_rows):
     assert repeats.repeat_report(odd.limit(0)).count() == 0
 
 
-def test_common_line_before_different_texts(spark, monkeypatch):
-    line = prose(50, 14)
-    rows = [(k, (line + "\n" if k % 3 else "") + prose(60 + k % 37, 40) + (" " + line if k % 5 else "") + prose(200 + k % 11, 30)) for k in range(150)]
-    frame, expected = spark.createDataFrame(rows, "doc_id long, text string"), brute.repeats(rows)
-    for most in (2, 20_000):  # with and without hot grams
-        monkeypatch.setattr(repeats, "HOT_FRAGMENTS", most)
-        monkeypatch.setattr(repeats, "_compared", _with_most(most))
-        got = {r[0]: r[1:] for r in pairs(repeats.repeat_report(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        assert got == expected
+def spans_of(frame, **options):
+    return sorted((tuple(r) for r in repeats.repeat_report(frame, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
 
 
-def _with_most(most):
-    original = repeats._compared
+@pytest.mark.parametrize("group", [1, 2, 7, 3_000])
+def test_common_line_before_different_texts(spark, group):
+    line = prose(50, 14)
+    rows = [(k, (line + "\n" if k % 3 else "") + prose(60 + k % 37, 40) + (" " + line if k % 5 else "") + prose(200 + k % 11, 30)) for k in range(150)]
+    long = prose(51, 60)
+    rows += [(500 + k, prose(300 + k, 3) + long + prose(400 + k, 3)) for k in range(40)] + [(600 + k, chr(97 + k) + "é" * 49 + chr(107 + k)) for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spans_of(frame, group=group) == brute.repeat_rows(rows)
 
-    def run(batches):
-        repeats.HOT_FRAGMENTS = most  # in the worker
-        yield from original(part for batch in batches for part in (batch.slice(k, 7) for k in range(0, len(batch), 7)))
 
-    return run
+def test_one_id_with_different_texts(spark, odd, odd_rows):
+    line, base = prose(70, 30), prose(71, 60)
+    rows = [(2, base), (2, line + prose(72, 30)), (2, None), (2, ""), (2, base), (1, line), (3, base + line), (3, prose(73, 20_000) + base), (3, line * 3), (None, base), (None, None), (1, None)]
+    rows += [(9, prose(80 + k, 4) + line + prose(120 + k, 4)) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spans_of(frame)
+    assert got == brute.repeat_rows(rows) and all(r[2] <= r[1] for r in got)
+    kept = repeats.without_repeats(frame.selectExpr("*", "1 AS key", "2 AS _key0", "3 AS gram", "4 AS n_chars"))
+    assert kept.columns == ["doc_id", "text", "key", "_key0", "gram", "n_chars"]
+    gone = sum(r[1] == r[2] > 0 for r in got)
+    assert kept.count() == len(rows) - gone
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(90, 260), st.sampled_from(["", "x", "é", "zz"])), min_size=2, max_size=14))
 def test_shared_passages(spark, parts):
     sources = [prose(30 + k, 60) for k in range(4)]

@@ -3,6 +3,9 @@
 Only what a reader sees counts as text: the contents of scripts, styles, heads, templates and form controls are
 skipped, comments and tags are markup.  Missing and stray end tags are repaired in the usual ways (a block ends an
 open paragraph, an item ends an item, an end tag closes what is open inside it or is ignored).
+
+The time is linear in the length of the page, whatever is in it: a tag is only looked for where a ``>`` follows, and the
+places of open elements are kept by name, so that no end tag or repair walks the stack.
 """
 
 from __future__ import annotations
@@ -34,7 +37,21 @@ TOKEN_GROUPS = [
     "article* content main post entry story text body prose blog page news maincontent articlebody",
 ]
 _ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
+#: What boilerplate says, by kind; a trailing * takes any ending.
+CUE_GROUPS = [
+    "comment* reply replies respond discussion wrote says said likes",
+    "copyright © rights reserved imprint",
+    "cookie* consent accept privacy terms gdpr",
+    "advertisement sponsored promoted advert offer discount sale deal",
+    "subscribe newsletter sign login log register password search email username submit",
+    "related popular trending recommended latest share follow tags archive",
+    "home about contact menu next previous help sitemap",
+]
+_CUE = re.compile("|".join(f"({'|'.join(w[:-1] + r'[a-z]*' if w[-1] == '*' else w for w in words.split())})" for words in CUE_GROUPS).join((r"(?<![a-z])(?:", r")(?![a-z])")))
+#: A name before what it says: how readers' comments often begin.
+_SPEAKER = re.compile(r"\s*@?\w+(?: \w+)?(?:, [\w :]+)?(?:: | says| wrote| said)")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _exact = {w: k for k, words in enumerate(TOKEN_GROUPS) for w in words.split() if w[-1] != "*"}
 _starts = [(w[:-1], k) for k, words in enumerate(TOKEN_GROUPS) for w in words.split() if w[-1] == "*"]
@@ -71,33 +88,41 @@ class Page:
         self.parent, self.end, self.depth = [-1], [0], [0]
         self.tag, self.tokens, self.above, self.above_tags = [-1], [0], [0], [0]
         self.chars, self.linked, self.marks, self.controls, self.breaks = [0], [0], [0], [0], [0]
-        self.index, self.children = [0], [0]
+        self.cues, self.speakers, self.digits = [0], [0], [0]
+        self.index, self.children, self.before, self.youngest = [0], [0], [-1], [-1]
         self.text: list[tuple[int, str]] = []
-        #: open elements: tag, element, block, skipped, link
+        #: open elements: tag, element, block, skipped, link; the places of those of each name, and of blocks
         self._open: list[tuple[str, int, bool, bool, bool]] = [("", 0, True, False, False)]
-        at, n = 0, len(source)
+        self._places: dict[str, list[int]] = {}
+        self._blocks = [0]
+        at, n, last = 0, len(source), source.rfind(">")
         while at < n:
-            found = _TOKEN.search(source, at)
-            stop = found.start() if found else n
-            if stop > at:
-                self._characters(source[at:stop], found is None)
-            if not found:
-                break
-            at = found.end()
-            name = found[2] or found[5]
+            stop, end, found = source.find("<", at), n, None
+            while stop >= 0:
+                if source.startswith("<!--", stop):
+                    end = source.find("-->", stop + 4) + 3
+                    end = end if end > 2 else n
+                    break
+                if stop < last and (found := _TAG.match(source, stop)):
+                    end = found.end()
+                    break
+                stop = source.find("<", stop + 1)
+            if stop != at:
+                self._characters(source[at:stop] if stop >= 0 else source[at:], stop < 0)
+            at = end
+            name = (found[2] or found[5]) if found else None
             if not name:
                 continue
             name = name.lower()
             if found[1] or found[4]:
                 self._end_tag(name)
             else:
-                attributes = found[3] or found[6] or ""
-                self._start_tag(name, attributes)
+                self._start_tag(name, found[3] or found[6] or "")
                 if name in RAW:
-                    close = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(source, at)
-                    at = close.end() if close else n
-                    if name not in VOID:
-                        self._end_tag(name)
+                    close = _RAW_END[name].search(source, at)
+                    at = source.find(">", close.end()) + 1 if close else 0
+                    at = at or n
+                    self._end_tag(name)
         while self._open:
             self._pop()
 
@@ -113,6 +138,10 @@ class Page:
         self.chars[element] += size
         self.linked[element] += size * link
         self.marks[element] += text.count(".") + text.count(",")
+        for found in _CUE.finditer(text.lower()):
+            self.cues[element] |= 1 << (found.lastindex - 1)
+        self.speakers[element] += _SPEAKER.match(text) is not None
+        self.digits[element] += any(c.isdigit() for c in text[:40])
 
     def _start_tag(self, name: str, attributes: str) -> None:
         opened = self._open
@@ -125,7 +154,7 @@ class Page:
                 self.controls[element] += 1
             return
         if name in BLOCK:
-            if name in ("html", "body") and len(opened) > 1 and any(o[0] == name for o in opened):
+            if name in ("html", "body") and self._places.get(name):
                 return
             if name == "body" or opened[-1][0] == "head":
                 self._close_until({"head"}, set())
@@ -149,39 +178,46 @@ class Page:
             self.above_tags.append(self.above_tags[above] | (1 << self.tag[above] if self.tag[above] >= 0 else 0))
             self.index.append(self.children[above])
             self.children[above] += 1
-            for values in (self.chars, self.linked, self.marks, self.controls, self.breaks, self.children):
+            self.before.append(self.youngest[above])
+            self.youngest[above] = element
+            self.youngest.append(-1)
+            for values in (self.chars, self.linked, self.marks, self.controls, self.breaks, self.children, self.cues, self.speakers, self.digits):
                 values.append(0)
         if self.marker and self.marker in attributes:
             self.marked.append(element)
         if name in BLOCK:
             self.text.append((element, " "))
+        self._places.setdefault(name, []).append(len(opened))
+        if name in BLOCK:
+            self._blocks.append(len(opened))
         opened.append((name, element, name in BLOCK, skipped or name in SKIPPED or name in RAW, link or name == "a"))
 
+    def _top(self, names: set[str]) -> int:
+        """The place of the innermost open element with one of these names, -1 if there is none."""
+        return max((found[-1] for name in names if (found := self._places.get(name))), default=-1)
+
     def _end_tag(self, name: str) -> None:
-        opened = self._open
-        for k in range(len(opened) - 1, 0, -1):
-            if opened[k][0] == name:
-                while len(opened) > k:
-                    self._pop()
-                return
-            if opened[k][2] and name not in BLOCK:
-                return
+        place = self._top({name})
+        if place < 0 or (name not in BLOCK and self._blocks[-1] > place):
+            return
+        while len(self._open) > place:
+            self._pop()
 
     def _close_until(self, names: set[str], barriers: set[str]) -> None:
-        opened = self._open
-        for k in range(len(opened) - 1, 0, -1):
-            if opened[k][0] in names:
-                outer = k
-                while outer > 1 and opened[outer - 1][0] in names:
-                    outer -= 1
-                while len(opened) > outer:
-                    self._pop()
-                return
-            if opened[k][0] in barriers:
-                return
+        opened, place = self._open, self._top(names)
+        if place < 0 or self._top(barriers) > place:
+            return
+        while place > 1 and opened[place - 1][0] in names:
+            place -= 1
+        while len(opened) > place:
+            self._pop()
 
     def _pop(self) -> None:
         name, element, block, _, _ = self._open.pop()
+        if self._open:
+            self._places[name].pop()
+            if block:
+                self._blocks.pop()
         if block:
             self.text.append((element, " "))
         if not self._open or self._open[-1][1] != element:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leasewell.llm.arrowtext import mix, prefix_hash, range_hash, slices, utf8
-from leasewell.llm.session import written
+from leasewell.llm.session import deleted, dropped, freed, scratch, written
 
 LENGTH = 100
 GRAM = 24
@@ -141,40 +141,44 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A stream sorted by fragment and place -> the first of equal fragments, and the others with a null gram."""
-    first = before = None  # fragment and place of the group's first row, place of the last row
+    names = ["gram", "whole", *_PLACE, "n", "at", "bytes"]
+    empty = {"gram": pa.int64(), "whole": pa.int64(), "bytes": pa.binary()}
+    group = before = None  # fragment and place of the last row
     for batch in batches:
-        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("again", "gram", "whole", *_PLACE, "n", "at")}
-        new = np.ones(len(batch), bool)
-        new[1:] = (columns["whole"][1:] != columns["whole"][:-1]) | (columns["gram"][1:] != columns["gram"][:-1])
-        moved = np.ones(len(batch), bool)
-        moved[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in _PLACE], axis=0)
-        own = lambda k, names: tuple(columns[c][k] for c in names)  # noqa: B023, E731
-        new |= columns["again"]
-        if first is not None and not columns["again"][0]:
-            new[0] = own(0, ("whole", "gram")) != first
-            moved[0] = own(0, _PLACE) != before
-        left = ~columns["again"]
-        if left.any():
-            last = int(np.flatnonzero(left)[-1])
-            first, before = own(last, ("whole", "gram")), own(last, _PLACE)
-        begin = new & left
-        old = columns["again"] | (~new & moved)
-        yield _batch({c: columns[c][begin] for c in ("gram", "whole", *_PLACE, "n", "at")}, batch.column("bytes").filter(pa.array(begin)))
-        names = ["gram", "whole", *_PLACE, "n", "at", "bytes"]
-        some = batch.filter(pa.array(old))
-        empty = {"gram": pa.int64(), "whole": pa.int64(), "bytes": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), empty[c]) if c in empty else some.column(c) for c in names], names)
+        again = batch.column("again").to_numpy(zero_copy_only=False)
+        rows = batch.filter(pa.array(~again))
+        old = np.zeros(len(rows), bool)
+        if len(rows):
+            column = {c: rows.column(c).to_numpy() for c in ("gram", "whole", *_PLACE)}
+            new, moved = np.ones(len(rows), bool), np.ones(len(rows), bool)
+            new[1:] = (column["whole"][1:] != column["whole"][:-1]) | (column["gram"][1:] != column["gram"][:-1])
+            moved[1:] = np.any([column[c][1:] != column[c][:-1] for c in _PLACE], axis=0)
+            at = lambda k, of: tuple(column[c][k] for c in of)  # noqa: B023, E731
+            new[0], moved[0] = at(0, ("whole", "gram")) != group, at(0, _PLACE) != before
+            group, before = at(-1, ("whole", "gram")), at(-1, _PLACE)
+            old = ~new & moved
+            yield rows.select(names).filter(pa.array(new))
+        for some in (batch.filter(pa.array(again)), rows.filter(pa.array(old))):
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), empty[c]) if c in empty else some.column(c) for c in names], names)
 
 
 def _settled(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Fragments with ``again`` -> the repeated ones, and the first of equal ones in groups of several with the size of
-    their group.  The tables on both sides of the join are written or light, so that adaptive execution can split a
-    group with a third of all fragments."""
-    dealt = found.repartition(F.when(F.col("again"), F.xxhash64(*_PLACE)).otherwise(F.col("whole"))).sortWithinPartitions("again", "whole", "gram", *_PLACE)
-    marks = written(dealt.mapInArrow(_first_of_equal, _FRAGMENTS), name)
-    firsts = marks.where("gram is not null")
+    their group.  The tables on both sides of the join are written, so that adaptive execution can split a group with a
+    third of all fragments; those that are alone are deleted."""
+    spark, path = found.sparkSession, scratch(found.sparkSession, name)
+    own = F.when(F.col("again"), F.xxhash64(*_PLACE)).otherwise(F.col("whole"))
+    marks = found.repartition(own).sortWithinPartitions("whole", "gram", *_PLACE).mapInArrow(_first_of_equal, _FRAGMENTS)
+    marks.withColumn("first", F.col("gram").isNotNull()).drop("whole").write.partitionBy("first").parquet(path)
+    marks = spark.read.schema(f"{_FRAGMENTS}, first boolean").parquet(path).drop("whole")
+    firsts, repeated = (marks.where(F.col("first") == value).drop("first") for value in (True, False))
     sizes = written(firsts.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-sizes")
-    return marks.where("gram is null").select(*_PLACE, "n"), firsts.join(sizes.hint("merge"), "gram")
+    freed(spark)
+    several = written(firsts.join(sizes.hint("merge"), "gram"), f"{name}-several")
+    dropped(spark, sizes)
+    deleted(spark, f"{path}/first=true")
+    return repeated.select(*_PLACE, "n"), several
 
 
 def _parts(level: int):
@@ -357,8 +361,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = _keyed(docs, doc_id, text).where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     repeated, several = _settled(rows.mapInArrow(_fragments, f"again boolean, {_FRAGMENTS}"), "fragments")
     wanted = several.groupBy("doc_id", "key").agg(F.collect_set(F.struct("gram", "start", "n", "at", "size")).alias("wanted"))
+    freed(docs.sparkSession)
     texts = rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted")
     held = written(texts.mapInArrow(_cut_out, "gram long, doc_id long, key long, start int, n int, at int, bytes binary, size long"), "bytes")
+    dropped(docs.sparkSession, several)
     spans = [repeated]
     for level in range(1, 9):
         small = held.where(F.col("size") <= group).repartition("gram").sortWithinPartitions("gram").select("gram", *_PLACE, "bytes")
@@ -366,9 +372,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         large = held.where(F.col("size") > group)
         if large.isEmpty():
             break
-        repeated, several = _settled(large.mapInArrow(_parts(level), f"again boolean, {_FRAGMENTS}"), f"parts-{level}")
+        repeated, held = _settled(large.mapInArrow(_parts(level), f"again boolean, {_FRAGMENTS}"), f"parts-{level}")
         spans.append(repeated)
-        held = written(several, f"groups-{level}")
     union = reduce(DataFrame.unionByName, spans)
     return union.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 

@@ -39,10 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps before the last one: it does so when the driver's heap is collected,
+    which may otherwise be long after."""
+    spark._jvm.System.gc()
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what ``written`` wrote for these frames, once nothing reads it any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for frame in frames:
-        for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(hadoop).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            deleted(spark, folder)

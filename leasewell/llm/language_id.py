@@ -10,12 +10,15 @@ Texts are lower-cased and turned into symbols: each letter of any script is its
 else is one space.  A symbol that a language's sample lacks costs log2(A) bits.  The automata travel as lists of
 transitions and are spread to dense transition tables, one column a byte of the sample, in groups of ``TABLE_CELLS``
 cells.  A missing transition already holds the state after a new phrase has begun, so a parse is one table lookup per
-symbol; numpy walks many stretches of ``STRETCH`` symbols side by side (a phrase ends with its stretch).  Every symbol
-of every text is parsed.
+symbol, and numpy walks many stretches of ``STRETCH`` symbols side by side.  A phrase does not end with its stretch: a
+walk goes on for ``OVERLAP`` symbols into the next stretch, and where both walks begin a phrase at the same place they
+are the same from there, so the phrases of the whole text are counted exactly.  A text in which two walks do not meet
+is walked again in one stretch.  Every symbol of every text is parsed.
 
-The sample is bounded by parameters: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language, taken in
-the order of a hash of the id.  Every label with a letter in its sample is a language; their number is not bounded, and
-the time of a parse grows with it.
+The sample is bounded by parameters: at most ``SAMPLE_ROWS`` rows a language, in the order of a hash of the id, and
+``SAMPLE_SYMBOLS`` characters, shared by all these rows: each gives the same number (shorter texts are taken whole, and
+what they leave goes to the others), in excerpts of ``EXCERPT`` characters spread evenly over the whole text.  Every
+label with a letter in its sample is a language; their number is not bounded, and the time of a parse grows with it.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and null bits; without any labelled text
 everything is ``und``; every input row gives one row, repeated ones too.
@@ -34,10 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leasewell.llm.arrowtext import slices
+from leasewell.llm.session import written
 
 SAMPLE_ROWS = 200
 SAMPLE_SYMBOLS = 40_000
-STRETCH = 256
+#: Characters of an excerpt of a text that is too long for its share of the sample.
+EXCERPT = 200
+STRETCH, OVERLAP = 256, 64
 #: Symbols that a sample may lack: the bytes.
 ALPHABET = 256
 #: Cells of the tables that a task holds at once (four bytes each).
@@ -88,7 +94,7 @@ class CrossParser:
         """samples: texts by language, in the order in which they are to be used; as pairs, in the order of the names."""
         self.languages, self.moves, cells, sizes = [], [], [], []
         for name, texts in sorted(samples.items()) if isinstance(samples, dict) else samples:
-            symbols = self.symbols(" ".join(texts))[0][:SAMPLE_SYMBOLS]
+            symbols = self.symbols(" ".join(texts))[0]
             if not symbols.any():
                 continue
             moves = suffix_automaton(symbols.tolist())
@@ -156,40 +162,77 @@ class CrossParser:
 
     def group_costs(self, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The first language of each group of languages, and the bits of each text under the languages of the group."""
-        pieces = -(-lengths // STRETCH)
-        owner = np.repeat(np.arange(len(lengths)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = np.repeat(np.cumsum(lengths) - lengths, pieces) + nth * STRETCH
-        size = np.minimum(STRETCH, lengths[owner] - nth * STRETCH)
-        order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        active = np.searchsorted(-size, -np.arange(1, STRETCH + 1), "right")
-        keep = ~(_MISS | _UNSEEN)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        first = np.cumsum(lengths) - lengths
         for group, members in enumerate(self.groups):
-            table, first, columns = self.tables(group)
-            state = np.repeat(first[:, None], len(size), 1)
-            phrases, unseen = np.ones(state.shape, np.int32), np.zeros(state.shape, np.int32)
-            for k in range(STRETCH):
-                n = active[k]
-                if not n:
-                    break
-                to = table[state[:, :n] + columns[:, symbols[begin[:n] + k]]]
-                state[:, :n] = to & keep
-                unseen[:, :n] += (to & _UNSEEN) > 0
-                if k:
-                    phrases[:, :n] += to >= _MISS
-            cost = np.empty((len(members), len(lengths)))
+            known = self.tables(group)[2] > 0
+            phrases, met = self.phrases(group, symbols, first, lengths, STRETCH)
+            apart = np.flatnonzero(~met)
+            if len(apart):
+                phrases[:, apart] = self.phrases(group, symbols, first[apart], lengths[apart], int(lengths[apart].max()))[0]
+            cost = np.empty(phrases.shape)
             for row, k in enumerate(members):
-                cost[row] = np.bincount(owner, (phrases[row] - unseen[row]) * self.bits[k] + unseen[row] * np.log2(ALPHABET), len(lengths))
+                unseen = np.bincount(text, ~known[row, symbols], len(lengths))
+                cost[row] = (phrases[row] - unseen) * self.bits[k] + unseen * np.log2(ALPHABET)
             yield members[0], cost
 
+    def phrases(self, group: int, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text (columns) under the languages of a group (rows), and whether its walks met."""
+        table, start, columns = self.tables(group)
+        pieces = -(-lengths // stretch)
+        owner = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin, left = first[owner] + nth * stretch, lengths[owner] - nth * stretch
+        order = np.argsort(-left, kind="stable")
+        begin, size = begin[order], np.minimum(left[order], stretch + OVERLAP)
+        active = np.searchsorted(-size, -np.arange(1, stretch + OVERLAP + 1), "right")
+        state = np.repeat(start[:, None], len(size), 1)
+        count, head, tail = np.zeros(state.shape, np.int64), np.zeros(state.shape, np.uint64), np.zeros(state.shape, np.uint64)
+        keep = ~(_MISS | _UNSEEN)
+        for k, n in enumerate(active.tolist()):
+            if not n:
+                break
+            to = table[state[:, :n] + columns[:, symbols[begin[:n] + k]]]
+            state[:, :n] = to & keep
+            fresh = to >= _MISS if k else np.ones(to.shape, bool)
+            if k < stretch:
+                count[:, :n] += fresh
+                if k < OVERLAP:
+                    head[:, :n] |= fresh.astype(np.uint64) << np.uint64(k)
+            else:
+                tail[:, :n] |= fresh.astype(np.uint64) << np.uint64(k - stretch)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        count, head, tail = count[:, back], head[:, back], tail[:, back]
+        after = np.flatnonzero(nth > 0)  # stretches with one before them in their text
+        if len(after):
+            common = tail[:, after - 1] & head[:, after]
+            below = (common & (~common + np.uint64(1))) - np.uint64(1)  # places before the one where both begin a phrase
+            ends = (common == 0) & (left[after] <= OVERLAP)  # the last phrases of the text began in the stretch before
+            count[:, after] -= np.where(ends, count[:, after], np.bitwise_count(head[:, after] & below))
+            count[:, after - 1] += np.bitwise_count(tail[:, after - 1] & below)
+            met = np.bincount(owner[after], ((common == 0) & ~ends).any(axis=0), len(lengths)) == 0
+        else:
+            met = np.ones(len(lengths), bool)
+        return np.stack([np.bincount(owner, row, len(lengths)) for row in count]), met
+
 
 def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -> Iterator[tuple[str, list[str]]]:
     """Every language, in the order of the names, with its texts: a bounded sample of the rows to learn from."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = rows.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_k")).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_n") <= SAMPLE_ROWS)
-    rows = rows.select(F.col(doc_id), F.col(text).substr(1, SAMPLE_SYMBOLS).alias("_t"), F.col(lang).alias("_l")).join(F.broadcast(ids), (F.col(doc_id) == F.col("_id")) & (F.col("_l") == F.col("_k")), "inner")
-    found = rows.select("_l", "_n", "_t").orderBy("_l", "_n", "_t").toLocalIterator()
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_l"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
+    ids = rows.select("_id", "_l", "_h", F.length("_t").cast("long").alias("_size")).withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id", "_h"))).where(F.col("_n") <= SAMPLE_ROWS)
+    # the level up to which every text is taken: what shorter texts leave is shared by those that are longer
+    by_size, whole = Window.partitionBy("_l").orderBy("_size", "_n"), Window.partitionBy("_l")
+    before, rest = F.sum("_size").over(by_size) - F.col("_size"), F.count("*").over(whole) - F.row_number().over(by_size) + 1
+    levels = ids.withColumn("_level", F.floor((SAMPLE_SYMBOLS - before) / rest))
+    levels = levels.withColumn("_share", F.max(F.when(F.col("_size") > F.col("_level"), F.col("_level"))).over(whole))
+    share = F.greatest(F.coalesce("_share", "_size"), F.lit(1))
+    pieces = F.ceil(share / EXCERPT).cast("int")
+    room = F.floor(share / pieces).cast("int")
+    first = lambda k: F.floor(k * (F.col("_size") - room) / F.greatest(pieces - 1, F.lit(1))).cast("int") + 1
+    excerpts = F.when(F.col("_size") <= share, F.col("_t")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.substring(F.col("_t"), first(k), room)), " "))
+    found = written(rows.join(levels.dropDuplicates(["_id", "_l", "_h"]), ["_id", "_l", "_h"]).select("_l", "_n", excerpts.alias("_t")).where("_n is not null"), "sample")
+    found = found.dropDuplicates(["_l", "_n"]).orderBy("_l", "_n").toLocalIterator()
     for name, group in groupby(found, lambda r: r[0]):
         yield name, [r[2] for r in group]
 

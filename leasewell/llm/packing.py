@@ -7,14 +7,14 @@ least sufficient room, found in a segment tree over room sizes in O(log width) s
 
 A packed row holds the ids as little-endian integers (2 bytes if all ids fit, else 4), padded to the full width, the
 cumulative segment lengths (0, ..., number of ids), the position of each id in its segment (positions start again
-at 0 with every segment; padding is 0), and the document and piece of every segment.  ``unpacked`` gives back the
-ids of every document.
+at 0 with every segment; padding is 0), and the document, text key (``xxhash64`` of the text) and piece of every segment.
+``unpacked`` gives back the ids of every input row.
 
 The number of shards follows the bytes of text (a text has no more ids than bytes, and one end id), so a shard has a
 bounded size and one shard loses at most one half-empty row.
 
-Defined cases: a null text has no ids and is in no row; an empty text is its end id; repeated rows are packed each;
-rows with a null id are packed under a null id.
+Defined cases: a null text has no ids and is in no row; an empty text is its end id; repeated rows are packed each, and
+rows that share an id but not the text are told apart by the key; rows with a null id are packed under a null id.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ END_ID = 50256
 WIDTH = 2048
 SHARD_BYTES = 2 << 20
 
-SCHEMA = "shard int, row int, n_ids int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>"
+SCHEMA = "shard int, row int, n_ids int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, keys array<long>, pieces array<int>"
 
 _encodings: dict[int, object] = {}
 
@@ -53,8 +53,8 @@ def _encoding(data: bytes, pattern: str):
 
 
 def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = RANKS, pattern: str = PATTERN, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
-    """(doc_id, piece, n, ids): the ids of every text with its end id, in pieces of at most ``width``, as 32-bit
-    little-endian bytes."""
+    """(doc_id, key, copy, piece, n, ids): the ids of every text with its end id, in pieces of at most ``width``, as
+    32-bit little-endian bytes; copy numbers equal rows of a slice."""
     with open(ranks, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -66,10 +66,13 @@ def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks
                 rows = np.repeat(np.arange(len(ids)), [-(-len(x) // width) for x in ids])
                 cut = [x[k : k + width] for x in ids for k in range(0, len(x), width)]
                 number = np.concatenate([np.arange(-(-len(x) // width)) for x in ids]) if ids else np.zeros(0, int)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), pa.array(number, pa.int32()), pa.array([len(x) for x in cut], pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["doc_id", "piece", "n", "ids"])
+                seen: dict = {}
+                copy = [seen.update({row: seen.get(row, -1) + 1}) or seen[row] for row in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), strict=True)]
+                of_row = [x.take(pa.array(rows)) for x in (part.column("doc_id"), part.column("key"), pa.array(copy, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*of_row, pa.array(number, pa.int32()), pa.array([len(x) for x in cut], pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["doc_id", "key", "copy", "piece", "n", "ids"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    return rows.mapInArrow(run, "doc_id long, piece int, n int, ids binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(run, "doc_id long, key long, copy int, piece int, n int, ids binary")
 
 
 class RoomTree:
@@ -123,16 +126,16 @@ def best_fit_decreasing(sizes: np.ndarray, width: int) -> np.ndarray:
 
 def _packer(width: int, pad_id: int, wide: bool):
     kind = np.dtype("<u4" if wide else "<u2")
-    schema = pa.schema([("shard", pa.int32()), ("row", pa.int32()), ("n_ids", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
+    schema = pa.schema([("shard", pa.int32()), ("row", pa.int32()), ("n_ids", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
 
     def run(key, table):
-        table = table.sort_by([("n", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids", "ascending")]).combine_chunks()
+        table = table.sort_by([("n", "descending"), ("doc_id", "ascending"), ("key", "ascending"), ("piece", "ascending"), ("copy", "ascending")]).combine_chunks()
         sizes = table.column("n").to_numpy()
         row = best_fit_decreasing(sizes, width)
         order = np.argsort(row, kind="stable")
         bounds = np.flatnonzero(np.diff(row[order], prepend=-1, append=row.max() + 1))
-        ids, docs, pieces = (table.column(c).combine_chunks() for c in ("ids", "doc_id", "piece"))
-        docs, pieces = docs.to_pylist(), pieces.to_pylist()
+        ids = table.column("ids").combine_chunks()
+        docs, keys, pieces = (table.column(c).to_pylist() for c in ("doc_id", "key", "piece"))
         out = {c: [] for c in schema.names}
         for a, b in zip(bounds, bounds[1:], strict=False):
             own = order[a:b].tolist()
@@ -141,7 +144,7 @@ def _packer(width: int, pad_id: int, wide: bool):
             matrix, position = np.full(width, pad_id, kind), np.zeros(width, kind)
             matrix[: cumulative[-1]] = np.concatenate([np.frombuffer(ids[k].as_buffer(), np.uint32) for k in own])
             position[: cumulative[-1]] = np.arange(cumulative[-1]) - np.repeat(cumulative[:-1], length)
-            for c, v in zip(schema.names, (key[0].as_py(), int(row[own[0]]), int(cumulative[-1]), matrix.tobytes(), cumulative.tolist(), position.tobytes(), [docs[k] for k in own], [pieces[k] for k in own]), strict=True):
+            for c, v in zip(schema.names, (key[0].as_py(), int(row[own[0]]), int(cumulative[-1]), matrix.tobytes(), cumulative.tolist(), position.tobytes(), [docs[k] for k in own], [keys[k] for k in own], [pieces[k] for k in own]), strict=True):
                 out[c].append(v)
         return pa.table(out, schema)
 
@@ -152,7 +155,7 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     """The packed rows of all texts."""
     total = docs.agg(F.sum(F.octet_length(text).cast("long") + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    pieces = pieces_of(docs, doc_id, text, ranks, PATTERN, end_id, width).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.xxhash64("ids")), F.lit(shards)).cast("int"))
+    pieces = pieces_of(docs, doc_id, text, ranks, PATTERN, end_id, width).withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", "piece", "copy"), F.lit(shards)).cast("int"))
     return pieces.groupBy("shard").applyInArrow(_packer(width, pad_id, max(end_id, pad_id) > 0xFFFF), SCHEMA)
 
 
@@ -162,17 +165,22 @@ def write_packed(rows: DataFrame, path: str) -> None:
 
 
 def unpacked(rows: DataFrame, id_bytes: int = 2) -> DataFrame:
-    """(doc_id, ids) of packed rows: the pieces of every document in order, as arrays of ids."""
+    """(doc_id, key, ids) of packed rows: a row for each packed text, its pieces in order as one array of ids.
+
+    Copies of a text (same id and key) are equal, so their pieces are counted and the text is given as often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for ids, cumulative, docs, pieces in zip(*(batch.column(c).to_pylist() for c in ("ids", "cu_seqlens", "doc_ids", "pieces")), strict=True):
+            for ids, cumulative, docs, keys, pieces in zip(*(batch.column(c).to_pylist() for c in ("ids", "cu_seqlens", "doc_ids", "keys", "pieces")), strict=True):
                 matrix = np.frombuffer(ids, f"<u{id_bytes}")
-                out += [(d, p, matrix[a:b].astype(np.int32)) for d, p, a, b in zip(docs, pieces, cumulative, cumulative[1:], strict=False)]
-            doc, piece, ids = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "piece", "ids"])
+                out += [(d, k, p, matrix[a:b].astype(np.int32)) for d, k, p, a, b in zip(docs, keys, pieces, cumulative, cumulative[1:], strict=False)]
+            doc, key, piece, ids = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(piece, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "key", "piece", "ids"])
 
-    pieces = rows.mapInArrow(run, "doc_id long, piece int, ids array<int>")
+    pieces = rows.mapInArrow(run, "doc_id long, key long, piece int, ids array<int>")
+    counted = pieces.groupBy("doc_id", "key", "piece").agg(F.first("ids").alias("ids"), F.count("*").cast("int").alias("copies"))
     ordered = F.array_sort(F.collect_list(F.struct("piece", "ids")))
-    return pieces.groupBy("doc_id").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+    texts = counted.groupBy("doc_id", "key").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"), F.min("copies").alias("copies"))
+    return texts.select("doc_id", "key", "ids", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")

@@ -17,25 +17,32 @@ def shingles(text, width=5):
     return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def near_duplicates(rows, threshold=0.8):
-    """{doc_id: (class_id, links)} by comparing all pairs."""
-    sets = {i: shingles(t) for i, t in rows}
-    ids, links, up = sorted(sets), dict.fromkeys(sets, 0), {i: i for i in sets}
+def near_rows(rows, threshold=0.8):
+    """[(doc_id, class_id, links)] of every row with an id, by comparing all pairs of rows."""
+    rows = [r for r in rows if r[0] is not None]
+    sets, links, up = [shingles(t) for _, t in rows], [0] * len(rows), list(range(len(rows)))
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
+    for a in range(len(rows)):
+        for b in range(a):
             x, y = sets[a], sets[b]
             if x and y and len(x & y) >= threshold * len(x | y) - 1e-9:
                 links[a] += 1
                 links[b] += 1
-                p, q = top(a), top(b)
-                up[max(p, q)] = min(p, q)
-    return {i: (top(i), links[i]) for i in ids}
+                up[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(i, least.get(top(k), i))
+    return [(i, least[top(k)], links[k]) for k, (i, _) in enumerate(rows)]
+
+
+def near_duplicates(rows, threshold=0.8):
+    """{doc_id: (class_id, links)} of rows with one text an id."""
+    return {i: (group, links) for i, group, links in near_rows(rows, threshold)}
 
 
 def contained(docs, items, threshold=0.8):

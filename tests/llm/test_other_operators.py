@@ -1,6 +1,7 @@
 """Operators over pages, vectors and tokens, and the pipeline."""
 
 import hashlib
+import math
 import os
 import random
 
@@ -40,6 +41,36 @@ def test_extraction_of_known_shapes(trees):
         assert html_extract.main_texts([source], trees) == ["Title here First bolder part, with words. Of. A & B é x"], shape
 
 
+#: Pages written by hand, most without a name in them, and their main texts.
+PLAIN = [
+    ('<html><body><div><div><a href="/">Home</a> <a href="/n">News</a> <a href="/c">Contact</a></div><div><h1>Big day</h1><p>The town met on Monday to talk about the new bridge, which will open next year.</p><p>Nobody was late, and the mayor spoke for an hour about the cost.</p></div><div><h3>Comments</h3><div>Bob: I liked this a lot!</div><div>Ann: me too</div></div><div>&copy; 2024 The Town. All rights reserved.</div></div></body></html>', 'Big day The town met on Monday to talk about the new bridge, which will open next year. Nobody was late, and the mayor spoke for an hour about the cost.'),
+    ('<div><div>Big day</div><div>The town met on Monday to talk about the new bridge, which will open next year.</div><div>Nobody was late, and the mayor spoke for an hour about the cost of it all.</div></div><div><div>Bob: I liked this a lot!</div><div>Ann: me too</div></div>', 'Big day The town met on Monday to talk about the new bridge, which will open next year. Nobody was late, and the mayor spoke for an hour about the cost of it all.'),
+    ('<body><div><a href="/">Start</a> | <a href="/a">Articles</a> | <a href="/l">Log in</a></div><div><div><h1>How to repair a bicycle</h1><p>First turn the bicycle over, so that it rests on saddle and handlebars.</p><p>Then take the wheel out. You need a wrench, a tube and some patience.</p><h2>The tube</h2><p>Look for the hole in a bowl of water: bubbles show where it is.</p><ul><li>wrench</li><li>tube</li></ul></div><div><h3>Related</h3><ul><li><a href="/1">Clean a chain</a></li><li><a href="/2">Buy a saddle</a></li></ul></div></div><div>Copyright 2023 Bicycle Press. Privacy. Terms.</div></body>', 'How to repair a bicycle First turn the bicycle over, so that it rests on saddle and handlebars. Then take the wheel out. You need a wrench, a tube and some patience. The tube Look for the hole in a bowl of water: bubbles show where it is. wrench tube'),
+    ('<div>We use cookies to make this site better. <button>Accept</button></div><div><h1>Rain in the north</h1><div>It rained for three days in the north, and rivers rose quickly.</div><div>Farmers hope that the fields will dry before the harvest begins.</div></div><div><input name="mail"><button>Subscribe</button> to our newsletter</div><div><b>Carl</b> says: terrible weather</div><div><b>Dora</b> says: we need it</div>', 'Rain in the north It rained for three days in the north, and rivers rose quickly. Farmers hope that the fields will dry before the harvest begins.'),
+    ('<table><tr><td><a href="/">Home</a><br><a href="/b">Books</a><br><a href="/m">Music</a></td><td><h2>A short history of tea</h2><p>Tea came to Europe in the seventeenth century, and was first sold as medicine.</p><p>It took a hundred years until it was drunk every day.</p></td></tr></table>', 'A short history of tea Tea came to Europe in the seventeenth century, and was first sold as medicine. It took a hundred years until it was drunk every day.'),
+    ('<main><h1>Notes</h1><p>We accept cookies, the kind you can eat, said the baker, and everyone laughed for a while.</p><p>Home is where the oven is.</p></main><footer>Imprint</footer>', 'Notes We accept cookies, the kind you can eat, said the baker, and everyone laughed for a while. Home is where the oven is.'),
+]
+
+
+def test_extraction_of_plain_pages(trees):
+    got = html_extract.main_texts([source for source, _ in PLAIN], trees)
+    assert sum(g == text for g, (_, text) in zip(got, PLAIN, strict=True)) >= len(PLAIN) - 1
+    assert got[0] == PLAIN[0][1] and not any("me too" in g or "we need it" in g for g in got)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for piece in ('<b x ', '<a href="', "<div>", "<p><b>", '<a "> ', "</p>", "<", "<!", "<!--", "<script>", "<title></title ", "&amp", "<td>", "<p><button><div>"):
+        times = []
+        for n in (1 << 16, 1 << 18):
+            begin = time.process_time()
+            Page(piece * (n // len(piece)))
+            Page(piece * (n // len(piece)) + ">")
+            times.append(time.process_time() - begin)
+        assert times[1] < 12 * times[0] + 0.3, piece
+
+
 @needs_data
 def test_extraction_of_the_table(spark, trees):
     import html
@@ -187,7 +218,7 @@ def test_packed_rows_hold_every_id(spark, odd, odd_rows, width):
     rows = packing.packed(odd, width=width, shard_bytes=50_000)
     with open(packing.RANKS, "rb") as file:
         encoding = packing._encoding(file.read(), packing.PATTERN)
-    got = {r.doc_id: r.ids for r in packing.unpacked(rows).collect()}
+    got = {r.doc_id: r.ids for r in packing.unpacked(rows).drop("key").collect()}
     expected = {i: [*encoding.encode_ordinary(t), packing.END_ID] for i, t, *_ in odd_rows if t is not None and i is not None}
     assert got.pop(None) == expected[1] and got == expected
     for row in rows.collect():
@@ -205,33 +236,75 @@ def test_packed_rows_hold_every_id(spark, odd, odd_rows, width):
     assert packing.packed(odd.limit(0)).count() == 0
 
 
+@needs_model
+def test_packing_gives_back_repeated_ids(spark):
+    rows = [(1, prose(1, 300)), (1, prose(2, 280)), (1, prose(1, 300)), (2, None), (2, ""), (2, ""), (None, prose(3, 90)), (None, prose(1, 300)), (3, prose(4, 20))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    with open(packing.RANKS, "rb") as file:
+        encoding = packing._encoding(file.read(), packing.PATTERN)
+    got = sorted(((r.doc_id, list(r.ids)) for r in packing.unpacked(packing.packed(frame, width=64, shard_bytes=2_000)).collect()), key=str)
+    assert got == sorted(((i, [*encoding.encode_ordinary(t), packing.END_ID]) for i, t in rows if t is not None), key=str)
+
+
 # ---- vectors
 
 
 def brute_top(rows, k=20):
-    ints = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
-    for q in (i for i in ints if i % 20 == 0):
-        scores = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:k]
-        out |= {(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)}
-    return out
+    """{(query_id, rank, vec_id, score)} of rows, in Python's integers."""
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(64 * x) for x in v)]
+    clip = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    found = {}
+    for q, a in ints:
+        if q % 20 == 0:
+            found.setdefault(q, []).extend((-clip(sum(map(int.__mul__, a, b))), i) for i, b in ints if i != q and len(a) == len(b))
+    return sorted((q, n, i, -s) for q, scores in found.items() for n, (s, i) in enumerate(sorted(scores)[:k], 1))
+
+
+def top(frame, **options):
+    rows = vector_search.top_k(frame, F.col("vec_id") % 20 == 0, **options).select("query_id", "rank", "vec_id", "score")
+    return sorted(tuple(r) for r in rows.collect())
 
 
-@pytest.mark.parametrize(("spread", "block"), [(0.1, 16_384), (0.1, 50), (5.0, 70), (1e6, 60)])
-def test_top_k_equals_brute_force(spark, spread, block):
+@pytest.mark.parametrize(("spread", "cells"), [(0.1, 1 << 20), (0.1, 64 * 16), (5.0, 70 * 16), (1e6, 80 * 16), (1e17, 1 << 20)])
+def test_top_k_equals_brute_force(spark, spread, cells):
     rng = np.random.default_rng(4)
     rows = [(k, [float(np.float32(x)) for x in rng.normal(0, spread, 16)]) for k in range(200)]
     rows += [(200 + k, rows[20][1]) for k in range(60)] + [(300, None), (301, [None] * 16), (302, [float("nan")] * 16), (303, [float("inf")] * 16), (None, rows[0][1]), (320, []), (340, [1.0, 2.0]), (341, [2.0, -1.0])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS qb", "3 AS rank")
-    got = {tuple(r) for r in vector_search.top_k(frame, F.col("vec_id") % 20 == 0, row_block=block, query_block=7).select("query_id", "rank", "vec_id", "score").collect()}
-    assert got == brute_top(rows)
+    rows += [(20, rows[40][1]), (7, rows[9][1]), (7, rows[7][1]), (60, rows[60][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS qb", "3 AS rank", "4 AS row", "5 AS dims")
+    assert top(frame, row_cells=cells, query_cells=64 * 16) == brute_top(rows)
 
 
 def test_top_k_of_little(spark):
-    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert vector_search.top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
-    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in vector_search.top_k(twice, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 1, 64 * 128)]
+    assert top(spark.createDataFrame([], "vec_id long, embedding array<float>")) == []
+    rows = [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [3.0]), (2, [1e300]), (3, [-1e300]), (20, [1e300]), (4, [1e308])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top(frame)
+    assert got == brute_top(rows) and (0, 3, 20, 2**63 - 1) in got and (20, 10, 3, -(2**63)) not in got
+
+
+def test_few_exact_vectors_are_read(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.normal(0, 1, 32)]) for k in range(2_000)] + [(5_000, [1e9] * 32)]
+    frame, path = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), f"file://{tmp_path}/files"
+    vector_search.write_files(frame, path)
+    left = vector_search.candidates(spark, path, F.col("vec_id") % 20 == 0, row_cells=512 * 32)
+    assert 100 * 20 <= left.count() < 0.12 * 101 * 2_001
+    got = sorted(tuple(r) for r in vector_search.search(spark, path, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 40), st.integers(0, 40), st.integers(0, 10**6))
+def test_bounds_hold(dims, exponent, seed):
+    rng = np.random.default_rng(seed)
+    q, v = (np.floor(rng.normal(0, 2.0**exponent, (n, dims))) for n in (3, 20))
+    shift = np.maximum(np.frexp(np.abs(v).max(axis=1))[1] - (vector_search.CELL_BITS - 1), 0)
+    cells = np.floor(np.ldexp(v, -shift[:, None])).astype(np.int8)
+    lower, upper = vector_search.bounds(q, cells, shift)
+    for i in range(3):
+        for j in range(20):
+            assert lower[i, j] <= min(max(sum(int(a) * int(b) for a, b in zip(q[i], v[j], strict=True)), -(2**63)), 2**63) <= upper[i, j]
 
 
 @needs_data

@@ -84,9 +84,30 @@ def test_near_duplicates_of_odd_rows(spark, odd, odd_rows):
     assert near_duplicates.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_repeated_rows_count_as_copies(spark):
-    rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in near_duplicates.near_duplicates(rows).collect()) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+def test_one_id_with_different_texts_and_copies(spark):
+    one, two, three = prose(91, 80), prose(92, 80), prose(93, 60)
+    near = lambda t, k: " ".join([*t.split()[:k], "edited", *t.split()[k + 1 :]])
+    rows = [(1, one), (1, two), (2, near(one, 30)), (3, near(two, 40)), (1, one), (4, three), (4, three), (5, near(three, 20)), (6, None), (6, None), (6, ""), (7, "a b"), (7, "a b"), (None, one), (4, near(three, 50)), (1, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'kept' AS _stays", "1 AS node", "2 AS key")
+    assert sorted(tuple(r) for r in near_duplicates.near_duplicates(frame).collect()) == sorted(brute.near_rows(rows))
+    kept = near_duplicates.one_of_each_group(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    first = min((t for t in (three, near(three, 50))), key=brute.text_key)
+    assert got == sorted([(1, one), (1, two), (4, first), (6, None), (6, None), (6, ""), (7, "a b"), (None, one), (1, None)], key=str)
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_balls_and_what_is_outside_them(spark, block):
+    base, rows = prose(95, 150).split(), []
+    for k in range(30):  # near the pivot, at the edge of the threshold, and beyond
+        own = list(base)
+        for j in range((0, 1, 2, 3, 4, 5)[k % 6]):
+            own[8 + 24 * j + k // 6] = f"edit{k}x{j}"
+        rows.append((k, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicates.near_duplicates(frame, block=block).collect())
+    assert got == sorted(brute.near_rows(rows))
 
 
 def test_banding_reaches_the_recall():
@@ -109,7 +130,7 @@ def test_decontamination_equals_brute_force(spark):
     assert got and got == brute.contained(pairs(documents(spark), "doc_id", "text"), pairs(documents(spark, "benchmark"), "item_id", "text"))
 
 
-def test_decontamination_of_odd_rows(spark, odd, odd_rows, monkeypatch):
+def test_decontamination_of_odd_rows(spark, odd, odd_rows):
     long = prose(9, 400)
     items = [(1, " ".join(odd_rows[0][1].split()[10:30])), (2, "two words"), (3, None), (4, "!!"), (5, prose(8, 40)), (6, odd_rows[10][1][5000:9000]), (7, long), (None, "two words"), (8, "Élan çà et là")]
     frame = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'kept' AS doc_id")
@@ -118,14 +139,39 @@ def test_decontamination_of_odd_rows(spark, odd, odd_rows, monkeypatch):
     expected = brute.contained(texts, [x for x in items if x[0] is not None])
     assert (50, 7) in expected and (10, 2) in expected
     assert set(pairs(decontaminate.contained_items(docs, frame), "doc_id", "item_id")) == expected
-    monkeypatch.setattr(decontaminate, "CHUNK_SHINGLES", 50)  # several passes give the same
-    assert set(pairs(decontaminate.contained_items(docs, frame), "doc_id", "item_id")) == expected
     kept = decontaminate.without_contaminated(odd, frame)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in odd_rows} - {i for i, _ in expected}
     assert decontaminate.contained_items(docs.limit(0), frame).count() == 0
     assert decontaminate.contained_items(docs, frame.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_ids_and_items(spark):
+    long, short = prose(12, 300), prose(13, 30)
+    items = [(1, long), (1, short), (2, long), (3, short), (3, short), (4, "x y"), (5, prose(14, 26))]
+    half = " ".join(w if k % 60 else "edit" for k, w in enumerate(long.split()))
+    docs = [(1, short), (1, prose(15, 40)), (1, None), (2, prose(16, 900) + " " + half), (2, prose(16, 20) + " x Y " + short), (2, prose(16, 20) + " x Y " + short), (3, " ".join(long.split()[:200]))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted((i, j) for i, t in docs for j, s in items if (0, 0) in brute.contained([(0, t)], [(0, s)]))
+    assert sorted(pairs(decontaminate.contained_items(frame, bench), "doc_id", "item_id")) == expected and (2, 2) in expected
+    kept = decontaminate.without_contaminated(frame.selectExpr("*", "1 AS key", "2 AS wanted"), bench)
+    assert sorted(pairs(kept, "doc_id", "text"), key=str) == sorted([docs[1], docs[2], docs[6]], key=str)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10**6))
+def test_decontamination_near_the_threshold(spark, seed):
+    rng = np.random.default_rng(seed)
+    items = [(k, prose(1000 + k, int(n))) for k, n in enumerate(rng.integers(6, 260, 12))]
+    docs = []
+    for k in range(40):
+        words = items[k % 12][1].split()
+        for at in rng.integers(0, len(words), int(rng.integers(0, max(2, len(words) // 18)))):
+            words[at] = f"e{k}"
+        docs.append((k, " ".join([prose(k, int(rng.integers(0, 300))), *words, prose(k + 99, int(rng.integers(0, 60)))])))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(pairs(decontaminate.contained_items(frame, bench), "doc_id", "item_id")) == sorted(brute.contained(docs, items))
+
+
 def test_needed_entries_keep_the_miss_rate():
     from math import comb
 
@@ -175,20 +221,62 @@ def test_automaton_knows_the_substrings(sample, text):
         assert text[k : k + n] in sample and (k + n == len(text) or text[k : k + n + 1] not in sample)
 
 
-def test_parse_equals_greedy_phrases():
-    sample, text = prose(21, 300), prose(22, 200)
-    parser = language_id.CrossParser({"a": [sample]})
-    symbols, lengths = parser.symbols(text)
-    known, phrases, at = parser.symbols(sample)[0].tobytes(), 0, 0
-    for begin in range(0, len(symbols), language_id.STRETCH):
-        piece = symbols[begin : begin + language_id.STRETCH].tobytes()
-        at = 0
-        while at < len(piece):
-            n = 1
-            while at + n < len(piece) and piece[at : at + n + 1] in known:
-                n += 1
-            phrases, at = phrases + 1, at + n
-    assert round(float(parser.costs(symbols, lengths)[0, 0] / parser.bits[0])) == phrases
+def greedy_bits(sample, symbols, bits):
+    """Cost of the parse into longest phrases of the sample, by looking at substrings."""
+    cost = at = 0
+    while at < len(symbols):
+        n = 0
+        while at + n < len(symbols) and symbols[at : at + n + 1] in sample:
+            n += 1
+        cost, at = cost + (bits if n else np.log2(language_id.ALPHABET)), at + max(n, 1)
+    return cost
+
+
+@pytest.mark.parametrize("texts", [[prose(22, 400), "", "ba", prose(23, 25)], ["ab" * 700, "zz" * 300 + prose(21, 90), "x" * 900], [prose(21, 300) * 2, prose(24, 55) + " 日本 " + prose(25, 80)]])
+def test_parse_equals_greedy_phrases(texts):
+    samples = {"a": [prose(21, 300)], "b": ["ab" * 600 + "x" * 400], "c": ["日本語 ko ri"]}
+    parser = language_id.CrossParser(samples)
+    low = pa.array(texts).cast(pa.large_string())
+    symbols, lengths = parser.symbols("".join(texts), np.array([len(t) for t in texts]))
+    end = np.cumsum(lengths)
+    assert len(low) == len(lengths)
+    found = np.concatenate([c for _, c in parser.group_costs(symbols, lengths)])
+    for row, name in enumerate(sorted(samples)):
+        known = parser.symbols(samples[name][0])[0].tobytes()
+        for k in range(len(texts)):
+            assert abs(found[row, k] - greedy_bits(known, symbols[end[k] - lengths[k] : end[k]].tobytes(), parser.bits[row])) < 1e-6
+
+
+def test_predictions_equal_greedy_parses(spark):
+    letters = ["ba ko ri den tal".split(), "zu wy fi ge hop".split(), "mer so vi un eau".split()]
+    rows = [(k, prose(k, 3 + 11 * (k % 9), letters[k % 3]), f"l{k % 3}" if k % 4 else None) for k in range(60)] + [(60, None, "l0"), (61, "!!", "l1"), (0, prose(200, 40, letters[1]), "l1"), (0, prose(200, 40, letters[1]), "l1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = dict(language_id.sampled(frame, "doc_id", "text", "lang", ~language_id.held_out() & F.col("doc_id").isNotNull()))
+    parser = language_id.CrossParser(samples)
+    known = [parser.symbols(" ".join(samples[name]))[0].tobytes() for name in parser.languages]
+
+    def predicted(text):
+        symbols = parser.symbols(text or "")[0].tobytes()
+        if not symbols.strip(b"\0"):
+            return "und"
+        costs = [greedy_bits(sample, symbols, bits) for sample, bits in zip(known, parser.bits, strict=True)]
+        return parser.languages[int(np.argmin(costs))]
+
+    got = sorted((r.doc_id, r.lang_pred) for r in language_id.language_of(frame).collect())
+    assert got == sorted((i, predicted(t)) for i, t, _ in rows)
+
+
+def test_sample_is_spread_over_whole_texts(spark):
+    long = " ".join(f"w{k}x" for k in range(30_000))
+    rows = [(k, long, "a") for k in range(3)] + [(10 + k, "short text", "a") for k in range(5)] + [(20, "one", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = dict(language_id.sampled(frame, "doc_id", "text", "lang", F.lit(True)))
+    assert found["b"] == ["one"] and found["a"].count("short text") == 5
+    own = [t for t in found["a"] if t != "short text"]
+    assert len(own) == 3 and sum(map(len, found["a"])) <= language_id.SAMPLE_SYMBOLS + 3 * 70
+    for t in own:
+        places = [int(w[1:-1]) for w in t.split() if w[0] == "w" and w[-1] == "x"]
+        assert len(t) > 12_000 and places[0] == 0 and places[-1] == 29_999 and np.diff(places).max() < 1_000
 
 
 def test_a_label_with_one_short_text_wins_nothing(spark):

@@ -95,6 +95,25 @@ def after(at: Column, us: Column) -> Column:
     return at + F.make_dt_interval(secs=(us.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
+def epoch_second(at: Column) -> Column:
+    """Whole seconds since 1970 of a time without zone."""
+    return F.datediff(F.to_date(at), F.to_date(F.lit(EPOCH))).cast("bigint") * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60 + F.second(at)
+
+
+def nanosecond(at: Column) -> Column:
+    """Nanoseconds of a time within its second."""
+    part = F.date_part(F.lit("SECOND"), at)
+    return ((part - F.floor(part)) * 1_000_000_000).cast("bigint")
+
+
+def at_epoch(second: Column, nano: Column) -> Column:
+    """The time without zone so many seconds and nanoseconds after 1970, in microseconds."""
+    return after(F.lit(EPOCH).cast("timestamp_ntz"), second * 1_000_000 + F.floor(nano / 1_000))
+
+
 def available_at(now: Column, delay_us: Column, requested: Column, most_delay_us: int = DEFAULT.delay) -> Column:
     """When a message becomes available: after its delay, or at the requested time if that is later; null if the
     delay is out of bounds or the time is beyond the longest delay."""

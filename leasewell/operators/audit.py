@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leasewell.functions.validation import queue_name_valid, receipt_valid
+from leasewell.functions.validation import queue_name_valid, receipt_valid, result_shape_valid
 from leasewell.limits import DEFAULT, Limits
 
 
@@ -24,7 +24,7 @@ def queue_rules() -> dict[str, Column]:
     return {
         "queue_name": ~queue_name_valid("queue"),
         "queue_ordering": ~F.coalesce(F.col("ordering").isin("fifo", "lifo"), F.lit(False)),
-        "queue_settings": ~F.coalesce(F.col("max_deliveries") > 0, F.lit(False)),
+        "queue_settings": ~F.coalesce((F.col("max_deliveries") > 0) & (F.col("default_delay_us") >= 0) & (F.col("default_visibility_us") > 0) & F.col("created_at").isNotNull(), F.lit(False)),
     }
 
 
@@ -75,6 +75,41 @@ def audit(messages: DataFrame, queues: DataFrame, receipts: DataFrame, next_sequ
     return out.unionByName(orphan.agg(F.count("*").alias("violations")).select(F.lit("receipt_of_lease").alias("rule"), "violations"))
 
 
+def audit_queues(queues: DataFrame) -> DataFrame:
+    """(rule, violations) of the settings of queues."""
+    return _counted(queues, queue_rules())
+
+
+def audit_acknowledged(messages: DataFrame, receipts: DataFrame, ack_receipts: DataFrame) -> DataFrame:
+    """(rule, violations) of acknowledgement tombstones (queue, receipt, message_id, expires_at).
+
+    A tombstone belongs to an acknowledged message, has the receipt of its last lease and ends after it was
+    acknowledged; every acknowledged message has exactly one; no receipt is shared, also not with a lease.
+    """
+    acked = messages.where("state = 'acked'").select("queue", "message_id", "lease_epoch", "acked_at")
+    rows = ack_receipts.join(acked, ["queue", "message_id"], "left")
+    known, some = F.col("lease_epoch").isNotNull(), F.coalesce(F.length("receipt"), F.lit(0)) > 0
+    rules = {
+        "acked_receipt_identity": ~known | ~some,
+        "acked_receipt_lease": known & ~F.coalesce(receipt_valid("receipt", "message_id", "lease_epoch"), F.lit(False)),
+        "acked_receipt_expiry": known & ~F.coalesce(F.col("expires_at") > F.col("acked_at"), F.lit(False)),
+    }
+    held = ack_receipts.groupBy("queue", "message_id").agg(F.count("*").alias("n"))
+    counted = acked.join(held, ["queue", "message_id"], "left").agg(F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("violations"))
+    every = receipts.select("receipt").unionByName(ack_receipts.select("receipt"))
+    return _counted(rows, rules).unionByName(counted.select(F.lit("acked_receipt_count").alias("rule"), "violations")).unionByName(_shared(every, "receipt", "receipt_unique_with_tombstones"))
+
+
+def audit_times(messages: DataFrame, counts: DataFrame, now: Column) -> DataFrame:
+    """(rule, violations) of stored states against an instant, and of counts by queue that do not add up."""
+    rules = {
+        "delayed_is_available": (F.col("state") == "delayed") & (F.col("available_at") <= now),
+        "ready_is_not_available": (F.col("state") == "ready") & (F.col("available_at") > now),
+    }
+    off = counts.agg(F.count_if(F.col("total") != sum((F.col(c) for c in ("ready", "delayed", "in_flight", "dead")), F.col("acked"))).alias("violations"))
+    return _counted(messages, rules).unionByName(off.select(F.lit("count_conservation").alias("rule"), "violations"))
+
+
 def idempotency_rules(through_lsn: Column) -> dict[str, Column]:
     """Rules of idempotency records."""
     operations = ("create_queue", "enqueue", "receive", "ack", "nack", "extend", "redrive")
@@ -85,6 +120,7 @@ def idempotency_rules(through_lsn: Column) -> dict[str, Column]:
         "record_times": ~F.coalesce(F.col("expires_at") > F.col("created_at"), F.lit(False)),
         "record_lsn": ~F.coalesce((F.col("last_lsn") >= 1) & (F.col("last_lsn") <= through_lsn), F.lit(False)),
         "record_result": F.try_parse_json("result").isNull(),
+        "record_result_shape": ~result_shape_valid("operation", "result"),
     }
 
 

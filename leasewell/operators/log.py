@@ -54,7 +54,10 @@ def gaps(log: DataFrame, order: str = "lsn", chunk: int = LOG_CHUNK) -> DataFram
 
 
 def positions(rows: DataFrame, order: str, out: str, chunk: int = LOG_CHUNK) -> DataFrame:
-    """Rows with their dense rank number by a unique, dense-ish integer order, in chunks."""
+    """Rows with their dense rank number by a unique, dense-ish integer order, in chunks.
+
+    The chunks themselves, one row for each ``chunk`` positions, are ranked in one task: up to some 10**11 positions.
+    """
     chunked = rows.withColumn("_chunk", F.floor(F.col(order) / chunk))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunked.groupBy("_chunk").count().select("_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))

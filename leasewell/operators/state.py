@@ -11,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leasewell.functions.validation import at_epoch, cursor_fields, cursor_scope, cursor_text, epoch_second, nanosecond, page_limit
 from leasewell.limits import DEFAULT, Limits
+from leasewell.operators.log import positions
+from leasewell.schemas import STATES
 
 #: Sequence numbers in a chunk of the two-level rank: the most rows a task sorts together.
 RANK_CHUNK = 65_536
+#: Seconds in a chunk of the delayed order; delays are bounded, so a queue has at most 43,200 chunks of a minute.
+DELAY_CHUNK = 60
 
 
 def instant(text: str) -> Column:
@@ -159,12 +164,83 @@ def list_messages(messages: DataFrame, queues: DataFrame, now: Column, queue: st
     return page.select("queue", "sequence", "priority", F.col("logical_state").alias("state"), "delivery_count", "enqueued_at", "available_at")
 
 
-def delayed_schedule(messages: DataFrame, queues: DataFrame, now: Column) -> DataFrame:
-    """Delayed messages in the order in which they become available (ties: delivery order)."""
+def delayed_schedule(messages: DataFrame, queues: DataFrame, now: Column, seconds: int = DELAY_CHUNK) -> DataFrame:
+    """Delayed messages in the order in which they become available (ties: delivery order).
+
+    Rows are numbered within (queue, minute of availability) and moved on by the sizes of the minutes before.
+    """
     rows = with_logical_state(messages, queues, now).where(F.col("logical_state") == "delayed")
-    priority_key, sequence_key = order_keys()
-    place = F.row_number().over(Window.partitionBy("queue").orderBy("available_at", priority_key, sequence_key))
-    return rows.select("queue", "sequence", "available_at", place.alias("position"))
+    rows = rows.select("queue", "sequence", "available_at", *order_keys(), F.floor(epoch_second(F.col("available_at")) / seconds).alias("chunk"))
+    before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("queue", "chunk").count().select("queue", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("queue", "chunk").orderBy("available_at", "priority_key", "sequence_key"))
+    return rows.withColumn("within", within).join(offsets, ["queue", "chunk"]).select("queue", "sequence", "available_at", (F.col("within") + F.col("offset")).alias("position"))
+
+
+def pages(messages: DataFrame, queues: DataFrame, now: Column, limit: int, generation: int = 0, state: str | None = None, dead_only: bool = False, cursors: DataFrame | None = None) -> DataFrame:
+    """A page of every queue, by sequence, with the cursor of the next page (null on the last one).
+
+    Without cursors (queue, cursor) these are first pages: the snapshot is the last log position, the high-water mark the
+    last sequence, and the time is now.  Else each page goes on after its cursor, as of its snapshot and time; queues
+    whose cursor is malformed or of another scope have no page.  A queue's page is a top-k of ``limit`` + 1 rows.
+    """
+    limit = page_limit(limit)
+    if state is not None and state not in STATES:
+        raise ValueError("invalid_request: message state filter is invalid")
+    wanted = F.lit("dead" if dead_only else state)
+    scope = cursor_scope("queue", F.lit(state or ""), F.lit(dead_only))
+    if cursors is None:
+        last = messages.agg(F.coalesce(F.max("last_lsn"), F.lit(0)).alias("lsn"), F.coalesce(F.max("sequence"), F.lit(0)).alias("high"))
+        rows = messages.withColumns({"snapshot_lsn": last.select("lsn").scalar(), "high_water": last.select("high").scalar(), "after": F.lit(0), "generation": F.lit(generation), "at": now})
+    else:
+        fields = cursors.select("queue", cursor_fields("cursor").alias("f")).where((F.col("f.scope") == scope) & (F.col("f.snapshot_lsn") > 0) & (F.col("f.generation") == generation))
+        at = at_epoch(F.col("f.second"), F.col("f.nano"))
+        rows = messages.join(fields.select("queue", "f.snapshot_lsn", "f.high_water", F.col("f.sequence").alias("after"), "f.generation", at.alias("at")), "queue")
+    rows = rows.where((F.col("sequence") > F.col("after")) & (F.col("sequence") <= F.col("high_water")) & (F.col("last_lsn") <= F.col("snapshot_lsn")))
+    rows = with_config(rows, queues).withColumn("logical_state", logical_state(F.col("at")))
+    if state is not None or dead_only:
+        rows = rows.where(F.col("logical_state") == wanted)
+    order = Window.partitionBy("queue").orderBy("sequence")
+    page = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1)
+    whole = Window.partitionBy("queue")
+    more, last_shown = F.max("place").over(whole) > limit, F.max(F.when(F.col("place") <= limit, F.col("sequence"))).over(whole)
+    text = cursor_text(scope, F.col("snapshot_lsn"), F.col("high_water"), last_shown, F.col("generation"), epoch_second(F.col("at")), nanosecond(F.col("at")))
+    page = page.withColumn("next_cursor", F.when(more, text)).where(F.col("place") <= limit)
+    return page.select("queue", "sequence", F.col("logical_state").alias("state"), "next_cursor")
+
+
+def list_request_outcomes(requests: DataFrame, queues: DataFrame, durable_lsn: Column, generation: Column) -> DataFrame:
+    """ok, invalid_request or not_found for requests (request, queue, state, dead_only, page, cursor) of a page."""
+    known = requests.join(queues.select("queue", F.lit(True).alias("known")), "queue", "left").withColumn("f", cursor_fields("cursor"))
+    asked, f = F.coalesce("cursor", F.lit("")) != "", F.col("f")
+    bad_page = (F.col("page") < 0) | (F.col("page") > DEFAULT.list_limit)
+    bad_state = (F.coalesce("state", F.lit("")) != "") & ~F.col("state").isin(*STATES)
+    bad_cursor = asked & (f.isNull() | (f["scope"] != cursor_scope("queue", F.col("state"), F.col("dead_only"))))
+    lost = asked & ((f["snapshot_lsn"] == 0) | (f["snapshot_lsn"] > durable_lsn) | (f["generation"] != generation))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    outcome = F.when(sure(bad_page) | sure(bad_state) | sure(bad_cursor), "invalid_request").when(F.col("known").isNull(), "not_found").when(sure(lost), "invalid_request").otherwise("ok")
+    return known.select("request", outcome.alias("outcome"))
+
+
+def admission(requests: DataFrame, most_queues: int = DEFAULT.queues) -> DataFrame:
+    """(op_seq, outcome) of requests (op_seq, queue, valid, key, fingerprint) to create queues, in the order of op_seq.
+
+    The first valid request of a name creates it while there is room.  A later one is a replay if it carries the key of
+    the request that did, and a conflict with it if it asks for something else under that key.  Places among the
+    creating requests are dense ranks in chunks; refused requests leave no record.
+    """
+    first = requests.where("valid").groupBy("queue").agg(F.min("op_seq").alias("first"), F.min_by("key", "op_seq").alias("made_key"), F.min_by("fingerprint", "op_seq").alias("made_of"))
+    placed = positions(first, "first", "place")
+    same_key = F.col("key").isNotNull() & (F.col("key") == F.col("made_key"))
+    outcome = (
+        F.when(~F.col("valid"), "invalid_request")
+        .when(F.col("place") > most_queues, "capacity_exceeded")
+        .when(F.col("op_seq") == F.col("first"), "created")
+        .when(same_key & (F.col("fingerprint") == F.col("made_of")), "replayed")
+        .when(same_key, "idempotency_conflict")
+        .otherwise("conflict")
+    )
+    return requests.join(placed, "queue", "left").select("op_seq", outcome.alias("outcome"))
 
 
 def materialize(messages: DataFrame, queues: DataFrame, now: Column) -> DataFrame:

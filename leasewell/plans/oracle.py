@@ -131,6 +131,56 @@ _BROKEN = """, broken AS (
          CASE WHEN sequence % 19 = 0 THEN enqueued_at ELSE dead_at END AS dead_at, CASE WHEN sequence % 29 = 0 THEN 0 ELSE last_lsn END AS last_lsn
   FROM m) """
 
+def _admission(room: int) -> str:
+    """Requests to create queues, where there is room for so many."""
+    return f"""
+        WITH a AS (SELECT c_custkey AS op_seq, c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN ' bad' ELSE '' END || '-' || (c_custkey % 40) AS queue,
+                          CASE WHEN c_custkey % 4 > 0 THEN 'k' || (c_custkey % 3) END AS key, c_custkey % 7 = 0 AS fp FROM customer),
+        v AS (SELECT *, regexp_matches(queue, '^[A-Za-z0-9._-]{{1,128}}$') AS ok FROM a),
+        f AS (SELECT queue, min(op_seq) AS first FROM v WHERE ok GROUP BY queue),
+        g AS (SELECT f.queue, f.first, v.key AS made_key, v.fp AS made_fp, row_number() OVER (ORDER BY f.first) AS place FROM f JOIN v ON v.op_seq = f.first)
+        SELECT op_seq, CASE WHEN NOT ok THEN 'invalid_request' WHEN place > {room} THEN 'capacity_exceeded' WHEN op_seq = first THEN 'created'
+                            WHEN key = made_key AND fp = made_fp THEN 'replayed' WHEN key = made_key THEN 'idempotency_conflict' ELSE 'conflict' END AS outcome
+        FROM v LEFT JOIN g USING (queue)"""
+
+
+def _pages(state: str, limit: int, skip: int = 0) -> str:
+    """Pages of all queues after so many messages, with the cursor of the next page."""
+    kind, wanted = ("01", f"logical_state = '{state}'") if state else ("00", "true")
+    digits = lambda x: f"lpad(CAST({x} AS VARCHAR), 20, '0')"
+    return f""", s AS (SELECT max(last_lsn) AS lsn, max(sequence) AS high FROM m),
+        p AS (SELECT queue, sequence, logical_state AS state, row_number() OVER (PARTITION BY queue ORDER BY sequence) AS place, count(*) OVER (PARTITION BY queue) AS n FROM l WHERE {wanted}),
+        w AS (SELECT *, max(sequence) OVER (PARTITION BY queue) AS last FROM p WHERE place > {skip} AND place <= {skip + limit})
+        SELECT queue, sequence, state, CASE WHEN n > {skip + limit} THEN 'v3.' || substring(sha256(encode(queue) || '\\x00\\x00\\x{kind}'::BLOB), 1, 32) || '.' || {digits('lsn')} || '.' || {digits('high')} || '.'
+               || {digits('last')} || '.' || {digits(3)} || '.' || {digits('9223372036854775808::HUGEINT + 883612800')} || '.000000000' END AS next_cursor
+        FROM w, s"""
+
+
+#: Tombstones of acknowledged messages.
+_TOMBSTONES = """, t AS (SELECT queue, message_id || '.' || lease_epoch || '.' || md5(message_id || '.' || lease_epoch) AS receipt, message_id,
+        acked_at + INTERVAL '1' DAY AS expires_at FROM m WHERE state = 'acked') """
+
+
+def _acknowledged(tombstones: str) -> str:
+    """Counts of violations over a relation of tombstones."""
+    rows = f"{tombstones} x LEFT JOIN (SELECT queue, message_id, lease_epoch, acked_at FROM m WHERE state = 'acked') y USING (queue, message_id)"
+    valid = "receipt LIKE message_id || '.' || lease_epoch || '.%' AND regexp_matches(receipt, '^[0-9a-f]{32}[.][0-9]+[.][0-9a-f]{32}$')"
+    return f"""SELECT 'acked_receipt_identity' AS rule, count(*) FILTER (lease_epoch IS NULL OR receipt = '') AS violations FROM {rows}
+        UNION ALL SELECT 'acked_receipt_lease', count(*) FILTER (lease_epoch IS NOT NULL AND NOT ({valid})) FROM {rows}
+        UNION ALL SELECT 'acked_receipt_expiry', count(*) FILTER (lease_epoch IS NOT NULL AND expires_at <= acked_at) FROM {rows}
+        UNION ALL SELECT 'acked_receipt_count', count(*) FROM (SELECT m.queue, m.message_id FROM m LEFT JOIN {tombstones} x ON m.queue = x.queue AND m.message_id = x.message_id
+            WHERE state = 'acked' GROUP BY m.queue, m.message_id HAVING count(x.message_id) <> 1)
+        UNION ALL SELECT 'receipt_unique_with_tombstones', count(*) FROM (SELECT receipt FROM (SELECT receipt FROM r UNION ALL SELECT receipt FROM {tombstones}) GROUP BY receipt HAVING count(*) > 1)"""
+
+
+def _times(messages: str) -> str:
+    """Stored states against the instant, and counts that do not add up."""
+    return f"""SELECT 'delayed_is_available' AS rule, count(*) FILTER (state = 'delayed' AND available_at <= {_AT}) AS violations FROM {messages}
+        UNION ALL SELECT 'ready_is_not_available', count(*) FILTER (state = 'ready' AND available_at > {_AT}) FROM {messages}
+        UNION ALL SELECT 'count_conservation', count(*) FROM (SELECT queue FROM {messages} GROUP BY queue
+            HAVING count(*) <> count(*) FILTER (state IN ('ready', 'delayed', 'leased', 'dead', 'acked')))"""
+
+
 SQL = {
     "logical_state": _BASE + "SELECT queue, sequence, state, logical_state FROM l",
     "select_candidate": _BASE + "SELECT queue, sequence, priority, delivery_count, enqueued_at, available_at FROM e WHERE place = 1",
@@ -145,10 +195,10 @@ SQL = {
     "list_messages_p1": _BASE + _PAGE + " ORDER BY sequence LIMIT 50",
     "list_messages_p2": _BASE + _PAGE + " AND sequence > 1000 AND sequence <= 9000 AND last_lsn <= 20000 ORDER BY sequence LIMIT 50",
     "list_dead_letters": _BASE + _PAGE + " AND logical_state = 'dead' ORDER BY sequence LIMIT 50",
-    "delayed_schedule": _BASE + "SELECT queue, sequence, available_at, CAST(row_number() OVER (PARTITION BY queue ORDER BY available_at, pk, sk) AS INTEGER) AS position FROM l WHERE logical_state = 'delayed'",
+    "delayed_schedule": _BASE + "SELECT queue, sequence, available_at, row_number() OVER (PARTITION BY queue ORDER BY available_at, pk, sk) AS position FROM l WHERE logical_state = 'delayed'",
     "materialize": _BASE + "SELECT message_id, queue, sequence, state, available_at, leased_at, lease_until, dead_at, last_failure_reason FROM mat",
     "compact": _BASE + f"SELECT queue, state, count(*) AS n, min(sequence) AS first_sequence FROM mat WHERE NOT coalesce(state = 'acked' AND acked_at + INTERVAL '24' HOUR <= {_AT}, false) GROUP BY queue, state",
-    "prune_retention": _BASE + f"SELECT queue, count(*) AS kept, count(*) FILTER (state = 'acked') AS kept_acked FROM m WHERE NOT coalesce(state = 'acked' AND acked_at + INTERVAL '30' DAY <= {_AT}, false) GROUP BY queue",
+    "prune_retention": _BASE + f"SELECT queue, count(*) AS kept, count(*) FILTER (state = 'acked') AS kept_acked FROM m WHERE NOT coalesce(state = 'acked' AND acked_at + INTERVAL '24' HOUR <= {_AT}, false) GROUP BY queue",
     "prune_idempotency": _REQUESTS + "SELECT op_seq, key, ts + INTERVAL '1' DAY AS expires_at FROM k WHERE ts + INTERVAL '1' DAY > (SELECT max(ts) - INTERVAL '1' DAY FROM k)",
     "capacity_headroom": _BASE + "SELECT queue, 100000 - count(*) AS message_headroom, 10000 - count(*) FILTER (logical_state = 'leased') AS in_flight_headroom, count(*) >= 100000 AS full FROM l GROUP BY queue",
     "idempotency_outcomes": _REQUESTS + "SELECT op_seq, key, CASE WHEN op_seq = min(op_seq) OVER w THEN 'new' WHEN fingerprint = first_value(fingerprint) OVER w THEN 'replayed' ELSE 'conflict' END AS outcome FROM k WINDOW w AS (PARTITION BY key ORDER BY op_seq)",
@@ -185,6 +235,7 @@ SQL = {
         UNION ALL SELECT 'record_times', count(*) FILTER (NOT expires_at > created_at) FROM i
         UNION ALL SELECT 'record_lsn', count(*) FILTER (last_lsn < 1 OR last_lsn > 100000000) FROM i
         UNION ALL SELECT 'record_result', count(*) FILTER (NOT json_valid(result)) FROM i
+        UNION ALL SELECT 'record_result_shape', count(*) FILTER (operation <> 'receive') FROM i
         UNION ALL SELECT 'record_queue', count(*) FILTER (queue NOT IN (SELECT n_name FROM nation)) FROM i""",
     "enqueue_schedule": """
         WITH x AS (SELECT o_orderkey AS message, o_orderdate AS now, o_orderkey % 33 - 1 AS d,
@@ -193,10 +244,35 @@ SQL = {
         z AS (SELECT *, d BETWEEN 0 AND 30 AND moment <= now + INTERVAL '30' DAY AS ok FROM y)
         SELECT message, CASE WHEN ok THEN moment END AS available_at, CASE WHEN ok THEN CASE WHEN moment > now THEN 'delayed' ELSE 'ready' END END AS state,
                CASE WHEN NOT ok THEN 'invalid_request' END AS error FROM z""",
-    "queue_admission": """
-        WITH a AS (SELECT c_custkey AS op_seq, c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN ' bad' ELSE '' END || '-' || (c_custkey % 40) AS queue FROM customer),
-        v AS (SELECT *, regexp_matches(queue, '^[A-Za-z0-9._-]{1,128}$') AS ok FROM a)
-        SELECT op_seq, queue, CASE WHEN NOT ok THEN 'invalid_request' WHEN op_seq = min(op_seq) OVER (PARTITION BY queue) THEN 'created' ELSE 'conflict' END AS outcome FROM v""",
+    "queue_admission": _admission(1000),
+    "queue_admission_full": _admission(60),
+    "message_pages": _BASE + _pages("", 50),
+    "message_pages_next": _BASE + _pages("", 50, 50),
+    "dead_letter_pages": _BASE + _pages("dead", 5),
+    "list_requests": """
+        WITH o AS (SELECT o_orderkey AS request, o_orderkey % 27 AS n, list_extract(['', 'ready', 'dead', 'waiting'], CAST(o_orderkey % 4 + 1 AS INT)) AS state,
+                          o_orderkey % 1103 - 50 AS page, o_orderkey % 3 > 0 AS asked FROM orders)
+        SELECT request, CASE WHEN page < 0 OR page > 1000 OR state = 'waiting' OR (asked AND (request % 17 = 0 OR request % 10 = 0)) THEN 'invalid_request'
+                             WHEN n > 24 THEN 'not_found'
+                             WHEN asked AND (request % 900 = 0 OR request % 900 > 800 OR request % 13 = 0) THEN 'invalid_request' ELSE 'ok' END AS outcome FROM o""",
+    "schedule_requests": """
+        WITH o AS (SELECT o_orderkey AS request, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 700 - 9 END AS ms, o_orderkey % 3 = 0 AS timed FROM orders),
+        v AS (SELECT *, NOT (ms IS NOT NULL AND timed) AND coalesce(ms, 0) >= 0 AS ok FROM o)
+        SELECT request, CASE WHEN ok THEN 'ok' ELSE 'invalid_request' END AS outcome, CASE WHEN ok THEN CAST(coalesce(ms, 0) * 1000 AS BIGINT) END AS delay_us FROM v""",
+    "prune_tombstones": _BASE + f"""SELECT queue, message_id, message_id || '.' || lease_epoch || '.' || md5(message_id || '.' || lease_epoch) AS receipt, acked_at + INTERVAL '1' DAY AS expires_at
+        FROM m WHERE state = 'acked' AND acked_at + INTERVAL '1' DAY > {_AT} - INTERVAL '100' DAY""",
+    "queue_settings_audit": """
+        SELECT 'queue_name' AS rule, count(*) FILTER (n_nationkey % 11 = 0) AS violations FROM nation
+        UNION ALL SELECT 'queue_ordering', count(*) FILTER (n_nationkey % 7 = 0) FROM nation
+        UNION ALL SELECT 'queue_settings', count(*) FILTER (n_nationkey % 5 = 0 OR n_nationkey % 4 = 0 OR n_nationkey % 9 = 0) FROM nation""",
+    "acknowledged_audit": _BASE + _TOMBSTONES + _acknowledged("t"),
+    "acknowledged_audit_broken": _BASE + _TOMBSTONES + """, k AS (SELECT *, ascii(substring(message_id, 1, 1)) * 256 + ascii(substring(message_id, 2, 1)) AS n FROM t),
+        d AS (SELECT queue, CASE WHEN n % 5 = 0 THEN '' WHEN n % 7 = 0 THEN 'same' ELSE receipt END AS receipt, CASE WHEN n % 17 = 0 THEN 'none' ELSE message_id END AS message_id,
+                     CASE WHEN n % 11 = 0 THEN expires_at - INTERVAL '2' DAY ELSE expires_at END AS expires_at, n FROM k WHERE n % 13 <> 0),
+        w AS (SELECT queue, receipt, message_id, expires_at FROM d UNION ALL SELECT queue, receipt, message_id, expires_at FROM d WHERE n % 19 = 0)
+        """ + _acknowledged("w"),
+    "state_time_audit": _BASE + _times("m"),
+    "state_time_audit_materialized": _BASE + _times("mat"),
     "fingerprints": """SELECT event_id, sha256('{"user_id":' || user_id || ',"event_type":"' || event_type || '"}') AS fingerprint FROM events""",
     "name_validation": """SELECT p_partkey AS k, regexp_full_match(p_name, '[A-Za-z0-9._-]{1,128}') AS queue_name, regexp_full_match(p_name, '[!-~]{1,256}') AS key,
         regexp_full_match(p_name, '[0-9a-f]{64}') AS fingerprint FROM part""",
@@ -213,7 +289,6 @@ SQL = {
     "durations": """
         WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 9223372036800 + o_orderkey ELSE o_orderkey - 500 END AS ms FROM orders)
         SELECT k, CASE WHEN ms >= 0 AND ms <= 9223372036854 THEN ms * 1000 END AS us FROM t""",
-    "wal_records": "SELECT event_id + 1 AS lsn, props AS payload, CAST(NULL AS VARCHAR) AS error FROM events",
     "store_recovery": _LOG + "SELECT entity AS key, lsn, value FROM f",
     "strict_payloads": "SELECT event_id, event_id % 5 = 0 AS accepted, true AS utf8 FROM events",
     "receipt_formats": _BASE + "SELECT sequence, true AS own, false AS next FROM m WHERE state = 'leased'",

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leasewell.functions import validation as V
-from leasewell.operators import audit, log, replay, state
+from leasewell.operators import audit, log, state
 from leasewell.sources import fixtures as fx
-from leasewell.sources import wal
 from leasewell.sources.shared import scratch
-from leasewell.sources.store import Store
 
 PAGE = 50
 TOP_K = 3
@@ -90,15 +88,20 @@ def compact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prune_retention(spark: SparkSession, sf: str) -> DataFrame:
-    """What stays of each queue when acknowledged messages are kept for 30 days."""
-    return state.prune_acked(fx.messages(spark, sf), _now(), 30 * 24 * 3600 * 1_000_000).groupBy("queue").agg(F.count("*").alias("kept"), F.count_if(F.col("state") == "acked").alias("kept_acked"))
+    """What stays of each queue when acknowledged messages are kept for a day."""
+    return state.prune_acked(fx.messages(spark, sf), _now()).groupBy("queue").agg(F.count("*").alias("kept"), F.count_if(F.col("state") == "acked").alias("kept_acked"))
+
+
+def prune_tombstones(spark: SparkSession, sf: str) -> DataFrame:
+    """Acknowledgement tombstones that still hold when those of the last hundred days are looked at."""
+    now = _now() - F.make_dt_interval(F.lit(100))
+    return state.prune_expired(fx.ack_receipts(spark, sf), now).select("queue", "message_id", "receipt", "expires_at")
 
 
 def prune_idempotency(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed requests whose record still holds a day before the last request."""
     rows = fx.requests(spark, sf)
-    last = rows.agg(F.max("ts")).first()[0]
-    now = F.lit(last).cast("timestamp_ntz") - F.make_dt_interval(F.lit(1))
+    now = rows.agg(F.max("ts")).scalar() - F.make_dt_interval(F.lit(1))
     records = rows.select("op_seq", "key", (F.col("ts") + F.make_dt_interval(F.lit(1))).alias("expires_at"))
     return state.prune_expired(records, now)
 
@@ -222,13 +225,94 @@ def enqueue_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "orders").select(k.alias("message"), at.alias("available_at"), F.when(at.isNotNull(), F.when(at > now, "delayed").otherwise("ready")).alias("state"), error.alias("error"))
 
 
+def _admission(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.concat("c_mktsegment", F.when(k % 5 == 0, " bad").otherwise(""), F.lit("-"), (k % 40).cast("string"))
+    return fx.table(spark, sf, "customer").select(k.alias("op_seq"), name.alias("queue"), F.when(k % 4 > 0, F.concat(F.lit("k"), (k % 3).cast("string"))).alias("key"), F.when(k % 7 == 0, "lifo").otherwise("fifo").alias("fingerprint")).withColumn("valid", V.queue_name_valid("queue"))
+
+
 def queue_admission(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers asking for queues by market segment: first valid request creates, later ones conflict."""
-    name = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, " bad").otherwise(""), F.lit("-"), (F.col("c_custkey") % 40).cast("string"))
-    asked = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("op_seq"), name.alias("queue"))
-    first = asked.where(V.queue_name_valid("queue")).groupBy("queue").agg(F.min("op_seq").alias("first"))
-    outcome = F.when(~V.queue_name_valid("queue"), "invalid_request").when(F.col("op_seq") == F.col("first"), "created").otherwise("conflict")
-    return asked.join(first, "queue", "left").select("op_seq", "queue", outcome.alias("outcome"))
+    """Customers asking for queues by market segment, many with keys that others use too."""
+    return state.admission(_admission(spark, sf))
+
+
+def queue_admission_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests where there is room for 60 queues."""
+    return state.admission(_admission(spark, sf), 60)
+
+
+def message_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page of every queue, with the cursor of the next."""
+    return state.pages(fx.messages(spark, sf), fx.queues(spark, sf), _now(), PAGE, 3)
+
+
+def message_pages_next(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of every queue, from the cursors of the first."""
+    cursors = message_pages(spark, sf).where("next_cursor is not null").groupBy("queue").agg(F.max("next_cursor").alias("cursor"))
+    return state.pages(fx.messages(spark, sf), fx.queues(spark, sf), _now(), PAGE, 3, cursors=cursors)
+
+
+def dead_letter_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page of the dead letters of every queue."""
+    return state.pages(fx.messages(spark, sf), fx.queues(spark, sf), _now(), 5, 3, dead_only=True)
+
+
+def list_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as requests for pages: sizes, state filters, unknown queues, and cursors of other lists or snapshots."""
+    k = F.col("o_orderkey")
+    named = fx.table(spark, sf, "orders").select(k.alias("request"), F.concat(F.lit("NATION_"), (k % 27).cast("string")).alias("queue"), F.element_at(F.array(*map(F.lit, ["", "ready", "dead", "waiting"])), (k % 4 + 1).cast("int")).alias("state"), (k % 5 == 0).alias("dead_only"), (k % 1_103 - 50).alias("page"))
+    scope = V.cursor_scope("queue", F.when(F.col("request") % 10 == 0, "other").otherwise(F.col("state")), F.col("dead_only"))
+    text = V.cursor_text(scope, F.col("request") % 900, F.lit(600), F.lit(7), F.when(F.col("request") % 13 == 0, 2).otherwise(3), F.lit(0).cast("bigint"), F.lit(0))
+    cursor = F.when(F.col("request") % 3 == 0, F.lit(None).cast("string")).when(F.col("request") % 17 == 0, "v3.x").otherwise(text)
+    return state.list_request_outcomes(named.withColumn("cursor", cursor), fx.queues(spark, sf), F.lit(800), F.lit(3))
+
+
+def schedule_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as requests that may give a delay, a time, both or neither."""
+    k = F.col("o_orderkey")
+    rows = fx.table(spark, sf, "orders").select(k.alias("request"), F.when(k % 2 == 0, k % 700 - 9).alias("delay_ms"), F.when(k % 3 == 0, F.col("o_orderdate")).alias("available_at"))
+    delay = F.when(F.col("delay_ms").isNull(), F.lit(0)).otherwise(V.duration_us("delay_ms"))
+    ok = V.schedule_exclusive("delay_ms", "available_at") & delay.isNotNull()
+    return rows.select("request", F.when(ok, "ok").otherwise("invalid_request").alias("outcome"), F.when(ok, delay).cast("bigint").alias("delay_us"))
+
+
+def queue_settings_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings of queues, some of them damaged."""
+    k = F.substring("queue", 8, 9).cast("int")
+    damaged = {
+        "queue": F.when(k % 11 == 0, F.concat("queue", F.lit("!"))).otherwise(F.col("queue")),
+        "ordering": F.when(k % 7 == 0, "random").otherwise(F.col("ordering")),
+        "default_delay_us": F.when(k % 5 == 0, -1).otherwise(F.col("default_delay_us")),
+        "default_visibility_us": F.when(k % 4 == 0, 0).otherwise(F.col("default_visibility_us")),
+        "created_at": F.when(k % 9 != 0, F.col("created_at")),
+    }
+    return audit.audit_queues(fx.queues(spark, sf).withColumns(damaged))
+
+
+def acknowledged_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Tombstones of acknowledged messages: none is wrong."""
+    return audit.audit_acknowledged(fx.messages(spark, sf), fx.receipts(spark, sf), fx.ack_receipts(spark, sf))
+
+
+def acknowledged_audit_broken(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tombstones, damaged: lost, wrong, early, doubled and shared ones."""
+    k = F.ascii(F.substring("message_id", 1, 1)) * 256 + F.ascii(F.substring("message_id", 2, 1))
+    rows = fx.ack_receipts(spark, sf).withColumn("k", k).where("k % 13 <> 0")
+    rows = rows.withColumns({"receipt": F.when(F.col("k") % 5 == 0, "").when(F.col("k") % 7 == 0, "same").otherwise(F.col("receipt")), "expires_at": F.when(F.col("k") % 11 == 0, F.col("expires_at") - F.make_dt_interval(F.lit(2))).otherwise(F.col("expires_at")), "message_id": F.when(F.col("k") % 17 == 0, "none").otherwise(F.col("message_id"))})
+    twice = rows.unionByName(rows.where("k % 19 = 0")).drop("k")
+    return audit.audit_acknowledged(fx.messages(spark, sf), fx.receipts(spark, sf), twice)
+
+
+def state_time_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored states against the instant, before they are materialized: passed delays are still stored as ready."""
+    rows = fx.messages(spark, sf)
+    return audit.audit_times(rows, state.queue_counts(rows, fx.queues(spark, sf), _now()), _now())
+
+
+def state_time_audit_materialized(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the materialized state: none is wrong."""
+    rows = state.materialize(fx.messages(spark, sf), fx.queues(spark, sf), _now())
+    return audit.audit_times(rows, state.queue_counts(rows, fx.queues(spark, sf), _now()), _now())
 
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,45 +349,13 @@ def durations(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "orders").select(k.alias("k"), ms.alias("ms")).select("k", V.duration_us("ms").alias("us"))
 
 
-def _settings() -> dict[str, replay.Settings]:
-    """Half of the replayed queues LIFO; few deliveries, so that some messages die."""
-    return {f"q{k}": replay.Settings("lifo" if k % 2 else "fifo", max_deliveries=2) for k in range(100)}
-
-
-def replay_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """The outcome of every operation of the fixture history."""
-    return replay.replay(fx.operations(spark, sf), _settings())
-
-
-def reservation_trace(spark: SparkSession, sf: str) -> DataFrame:
-    """Which message each receive of that history took."""
-    return replay.lease_trace(replay_outcomes(spark, sf))
-
-
-def replay_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Log positions and sequences of the operations of that history that changed the state."""
-    return replay.numbered(replay_outcomes(spark, sf))
-
-
-def wal_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Events framed as log segments and read back."""
-    rows = fx.table(spark, sf, "events").select((F.col("event_id") + 1).alias("lsn"), F.col("props").alias("payload"))
-    found = wal.decoded(wal.encoded(rows))
-    return found.select(F.col("lsn").cast("bigint").alias("lsn"), F.col("payload").cast("string").alias("payload"), "error")
-
-
 def store_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    """The change log appended to a store in three batches with a compaction between, read by a second store."""
-    rows = fx.change_log(spark, sf).select(F.col("lsn").alias("op_seq"), F.col("entity").alias("key"), "deleted", "value")
-    path = scratch(spark, "store")
-    store = Store(spark, path)
-    part = F.floor(F.col("op_seq") * 3 / (rows.count() + 1))
-    store.append(rows.where(part == 0), "first")
-    store.append(rows.where(part == 1), "second")
-    store.append(rows.where(part == 1), "second")
-    store.compact()
-    store.append(rows.where(part == 2), "third")
-    return Store(spark, path).state()
+    """The change log written by ranges of positions, and its state from a snapshot of the first ranges and the rest."""
+    path, rows = scratch(spark, "log"), fx.change_log(spark, sf)
+    rows.withColumn("range", F.floor(F.col("lsn") / SNAPSHOT_LSN)).write.partitionBy("range").parquet(path)
+    written = spark.read.parquet(path)
+    held = log.fold(written.where("range = 0").drop("range"))
+    return log.snapshot_plus_tail(held, written.where("range > 0").drop("range"), SNAPSHOT_LSN - 1).withColumnRenamed("entity", "key")
 
 
 def strict_payloads(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,5 +385,5 @@ def time_addition(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "orders").select(k.alias("k"), V.added(F.col("o_orderdate"), (k % 50 - 5) * 86_400_000_000).alias("at"))
 
 
-_QUERIES = [logical_state, select_candidate, reservation_order, topk_per_queue, queue_counts, service_stats, list_queues, get_queue, in_flight, next_event, list_messages_p1, list_messages_p2, list_dead_letters, delayed_schedule, materialize, compact, prune_retention, prune_idempotency, capacity_headroom, idempotency_outcomes, log_fold, snapshot_plus_tail, state_diff, lsn_gaps, log_positions, redrive_lineage, receipt_validity, lease_claims, invariant_audit, invariant_audit_broken, recovered_state_audit, delta_violations, idempotency_audit, enqueue_schedule, queue_admission, fingerprints, name_validation, cursor_scopes, reasons, durations, replay_outcomes, reservation_trace, replay_positions, wal_records, store_recovery, strict_payloads, receipt_formats, result_shapes, time_addition]
+_QUERIES = [logical_state, select_candidate, reservation_order, topk_per_queue, queue_counts, service_stats, list_queues, get_queue, in_flight, next_event, list_messages_p1, list_messages_p2, list_dead_letters, delayed_schedule, materialize, compact, prune_retention, prune_idempotency, capacity_headroom, idempotency_outcomes, log_fold, snapshot_plus_tail, state_diff, lsn_gaps, log_positions, redrive_lineage, receipt_validity, lease_claims, invariant_audit, invariant_audit_broken, recovered_state_audit, delta_violations, idempotency_audit, enqueue_schedule, schedule_requests, queue_admission, queue_admission_full, message_pages, message_pages_next, dead_letter_pages, list_requests, prune_tombstones, queue_settings_audit, acknowledged_audit, acknowledged_audit_broken, state_time_audit, state_time_audit_materialized, fingerprints, name_validation, cursor_scopes, reasons, durations, store_recovery, strict_payloads, receipt_formats, result_shapes, time_addition]
 QUERIES = {f.__name__: f for f in _QUERIES}

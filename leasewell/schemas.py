@@ -12,9 +12,6 @@ MESSAGES = "message_id string, queue string, payload string, priority int, seque
 RECEIPTS = "queue string, message_id string, receipt string"
 ACK_RECEIPTS = "queue string, receipt string, message_id string, expires_at timestamp_ntz"
 IDEMPOTENCY = "operation string, queue string, key string, fingerprint string, result string, created_at timestamp_ntz, expires_at timestamp_ntz, last_lsn bigint"
-#: An operation of a history; refs name the op_seq of the operation whose message or receipt is meant.
-OPERATIONS = "op_seq bigint, ts timestamp_ntz, queue string, op string, message_ref bigint, receipt_ref bigint, priority int, delay_us bigint, available_at timestamp_ntz, visibility_us bigint, reason string, payload string, idempotency_key string"
-OUTCOMES = "op_seq bigint, queue string, op string, outcome string, error string, message_id string, receipt string, state string, delivery_count bigint, replayed boolean, changed boolean, created boolean"
 #: A change of the log: a tombstone has op 'delete' and a null value.
 CHANGES = "lsn bigint, entity string, key string, op string, value string"
 

@@ -6,7 +6,7 @@ conversations are lineages.  Values are functions of the keys, so every engine d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "1998-01-01 00:00:00"
@@ -25,6 +25,9 @@ def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, "fifo").otherwise("lifo").alias("ordering"),
         (key % 4 >= 2).alias("priority_enabled"),
         F.lit(5).cast("bigint").alias("max_deliveries"),
+        (key % 3 * 1_000_000).cast("bigint").alias("default_delay_us"),
+        F.lit(30_000_000).cast("bigint").alias("default_visibility_us"),
+        F.lit("1992-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
     )
 
 
@@ -79,6 +82,13 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("queue", "message_id", F.concat_ws(".", "message_id", F.col("lease_epoch").cast("string"), digest).alias("receipt"))
 
 
+def ack_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tombstone of every acknowledged message: its last receipt, kept for a day."""
+    done = messages(spark, sf_dir).where("state = 'acked'")
+    digest = F.md5(F.concat_ws(".", "message_id", F.col("lease_epoch").cast("string")).cast("binary"))
+    return done.select("queue", F.concat_ws(".", "message_id", F.col("lease_epoch").cast("string"), digest).alias("receipt"), "message_id", (F.col("acked_at") + F.make_dt_interval(F.lit(1))).alias("expires_at"))
+
+
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes of the entity user_id: an error event deletes it."""
     return table(spark, sf_dir, "events").select(
@@ -105,30 +115,3 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("node"),
         F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"),
     )
-
-
-def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as queue operations in time order: a queue for every hundredth user.
-
-    clicks enqueue, views receive, purchases acknowledge, signups give back and errors extend or redrive what an
-    operation some events before returned; every fifth event carries an idempotency key.
-    """
-    k = F.col("event_id")
-    back = F.lag("op_seq", 1).over(Window.partitionBy("queue", "_took", "_chunk").orderBy("op_seq"))
-    op = F.when(F.col("event_type") == "click", "enqueue").when(F.col("event_type") == "view", "receive").when(F.col("event_type") == "purchase", "ack").when(F.col("event_type") == "signup", "nack").when(k % 3 == 0, "redrive").otherwise("extend")
-    rows = table(spark, sf_dir, "events").select(k.alias("op_seq"), "ts", F.concat(F.lit("q"), (F.col("user_id") % 100).cast("string")).alias("queue"), op.alias("op"), F.col("props").alias("payload"))
-    uses = F.col("op").isin("receive", "ack", "nack", "extend", "redrive")
-    rows = rows.withColumn("_took", uses).withColumn("_chunk", F.floor(F.col("op_seq") / 65_536)).withColumn("_ref", F.when(uses & (F.col("op") != "receive"), back))
-    none = lambda kind: F.lit(None).cast(kind)
-    return rows.select(
-        "op_seq", "ts", "queue", "op",
-        F.col("_ref").alias("message_ref"),
-        F.when(F.col("op") != "redrive", F.col("_ref")).alias("receipt_ref"),
-        none("int").alias("priority"),
-        F.when(F.col("op") == "nack", (F.col("op_seq") % 3) * 60_000_000).when((F.col("op") == "enqueue") & (F.col("op_seq") % 4 == 0), 3_600_000_000).alias("delay_us"),
-        none("timestamp_ntz").alias("available_at"),
-        F.when(F.col("op").isin("receive", "extend"), F.lit(21_600_000_000)).alias("visibility_us"),
-        F.when(F.col("op") == "nack", "failed").alias("reason"),
-        F.when(F.col("op") == "enqueue", F.col("payload")).alias("payload"),
-        F.when(F.col("op_seq") % 5 == 0, F.concat(F.lit("k"), (F.col("op_seq") % 50).cast("string"))).alias("idempotency_key"),
-    )

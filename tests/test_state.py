@@ -113,3 +113,28 @@ def test_roots_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k - 1 if k % 100 else None) for k in range(300)], "node bigint, parent bigint")
     got = log.roots(edges).agg(F.count_if(F.col("root") == F.floor(F.col("node") / 100) * 100), F.max("depth")).first()
     assert tuple(got) == (300, 99)
+
+
+def test_deadlines_of_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from leasewell.streaming.deadlines import deadlines
+
+    begin = datetime(2026, 8, 26, 20)
+    rows = [("q", begin + timedelta(seconds=10 * k)) for k in range(12)] + [("q", begin + timedelta(days=1))]
+    spark.createDataFrame(rows, "queue string, lease_until timestamp_ntz").selectExpr("queue", "CAST(lease_until AS timestamp) AS lease_until").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("queue string, lease_until timestamp").parquet(str(tmp_path / "in"))
+    query = deadlines(stream).writeStream.format("memory").queryName("deadlines").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.n for r in spark.table("deadlines").collect()) == [1, 6, 6]
+
+
+def test_delayed_order_is_the_same_in_chunks(spark):
+    from leasewell.operators import state
+    from leasewell.sources import fixtures as fx
+    from tests.oracle import DATA
+
+    rows, queues, now = fx.messages(spark, DATA), fx.queues(spark, DATA), state.instant(fx.AS_OF)
+    got = {tuple(r) for r in state.delayed_schedule(rows, queues, now, 10**9).collect()}
+    assert got == {tuple(r) for r in state.delayed_schedule(rows, queues, now, 60).collect()}

@@ -53,8 +53,8 @@ GRAM = 24
 WORD = 20
 SHARD_BYTES = 1 << 16
 BATCH_BYTES = 1 << 19
-#: Fragments of a group that a task merges (about BATCH_BYTES of text); larger groups are dealt more finely.
-GROUP_FRAGMENTS = 3_000
+#: Fragments of a group that a task merges; larger groups are dealt more finely.
+GROUP_FRAGMENTS = 1_000
 _SLICE = 1 << 18
 
 

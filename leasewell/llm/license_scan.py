@@ -2,8 +2,10 @@
 
 Each license template is a list of words.  A text is searched for regions in which enough words belong to the
 template's vocabulary: a match with coverage c has c * n template words within ``SPREAD`` * n words, so a sliding
-count over the hashed words of all texts at once finds every region that can match.  In a region, windows are
-aligned with the template: words unique to both sides anchor the alignment, the longest increasing subsequence of
+count over the hashed words of all texts at once finds every region that can match.  In a region, the words that a window
+has in common with the template (each as often as both have it) bound what any alignment can cover, and as a step
+changes them by one, windows that fall short by d let the next d - 1 be skipped.  Other windows, one for each word of the
+template's vocabulary, are aligned with the template: words unique to both sides anchor the alignment, the longest increasing subsequence of
 their places is kept, and the gaps between anchors are aligned in the same way after equal words at their ends have
 been taken.  Coverage is the share of the template's words aligned; a match reaches ``COVERAGE``.
 
@@ -23,24 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leasewell.llm.arrowtext import Words, slices
+from leasewell.llm.license_texts import LICENSES, LINES, NOTICES
 
 COVERAGE = 0.75
 #: A match lies within so many times the template's words.
 SPREAD = 1.5
 
-#: License notices in their usual public wording (fixed values).
-TEMPLATES = {
-    "Apache-2.0 line": "Licensed under the Apache License, Version 2.0",
-    "MIT line": "Released under the MIT License",
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-}
+#: What is looked for unless a caller names templates, such as those that ``templates_from`` reads.
+TEMPLATES = LINES | NOTICES | LICENSES
 
 SCHEMA = "doc_id long, license string, coverage double, begin_word long, end_word long, excerpt string"
 
@@ -108,6 +100,7 @@ class Scanner:
         self.mask = np.zeros((len(self.words), len(self.key)), bool)
         for k, w in enumerate(self.words):
             self.mask[k, np.searchsorted(self.key, w)] = True
+        self.often = [np.bincount(np.searchsorted(self.key, w), minlength=len(self.key)) for w in self.words]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.key >> np.uint64(44)).astype(np.int64)] = True
 
@@ -121,7 +114,7 @@ class Scanner:
         row_of = np.searchsorted(offsets, hits, "right") - 1
         for t in range(len(self.words)):
             own = self.mask[t, entry]
-            at, row, need, window = hits[own], row_of[own], self.need[t], self.window[t]
+            at, row, word, need, window = hits[own], row_of[own], entry[own], self.need[t], self.window[t]
             if len(at) < need:
                 continue
             ahead = np.arange(len(at) - need + 1) + need - 1
@@ -129,6 +122,11 @@ class Scanner:
             done = -1
             for first in dense:
                 if at[first] > done:
+                    last = np.searchsorted(at, min(at[first] + window, offsets[row[first] + 1]))
+                    common = int(np.minimum(np.bincount(word[first:last], minlength=len(self.key)), self.often[t]).sum())
+                    if common < need:
+                        done = at[first] + need - common - 1
+                        continue
                     found = self._aligned(h, t, int(at[first]), int(offsets[row[first]]), int(offsets[row[first] + 1]))
                     if found:
                         share, begin, end = found
@@ -151,6 +149,14 @@ class Scanner:
         return (share, best[1], best[2]) if share >= self.coverage - 1e-9 else None
 
 
+def templates_from(rows: DataFrame, name: str = "license", text: str = "text") -> dict[str, str]:
+    """Templates of a table of license texts, a list that a person keeps: refuses more than 10,000."""
+    found = rows.where(F.col(name).isNotNull() & F.col(text).isNotNull()).select(name, text).limit(10_001).collect()
+    if len(found) > 10_000:
+        raise ValueError("more than 10,000 license templates")
+    return {r[0]: r[1] for r in found}
+
+
 def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """A row for each license found in a text: words begin_word to end_word of it (from 0, both included)."""
     templates = templates or TEMPLATES

@@ -446,6 +446,30 @@ def test_licenses_in_texts(spark, odd):
     assert license_scan.license_matches(odd).count() == 0 and license_scan.license_matches(frame.limit(0)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcdefghxyz"), max_size=120), st.lists(st.sampled_from("abcdefgh"), min_size=3, max_size=25), st.integers(0, 80), st.sampled_from([0.6, 0.75, 0.9]))
+def test_scan_equals_sliding_alignment(words, template, place, coverage):
+    words = [*words[:place], *template[:-1], *words[place:]]
+    scanner = license_scan.Scanner({"t": " ".join(template)}, coverage)
+    found = list(scanner.matches(Words(pa.array([" ".join(words)]))))
+    window, need = int(np.ceil(license_scan.SPREAD * len(template))), coverage * len(template) - 1e-9
+    starts = [k for k, w in enumerate(words) if w in template and len(license_scan.patience(words[k : k + window], template)) >= need]
+    assert bool(found) == bool(starts)
+    for _, _, share, begin, end in found:
+        assert coverage - 1e-9 <= share <= 1 and 0 <= begin <= end < len(words)
+    # every window that matches on its own overlaps a match that was reported
+    assert all(any(begin < k + window and k <= end for _, _, _, begin, end in found) for k in starts)
+
+
+def test_whole_licenses_are_found(spark):
+    texts = {name: prose(k, 400) + "\n# " + text.replace("\n", "\n# ") + "\n" + prose(99 - k, 300) for k, (name, text) in enumerate(license_scan.TEMPLATES.items())}
+    frame = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = set(pairs(license_scan.license_matches(frame), "doc_id", "license"))
+    assert {(k, name) for k, name in enumerate(texts)} <= got
+    other = license_scan.templates_from(spark.createDataFrame([("own", "one two three four five"), (None, "x")], "license string, text string"))
+    assert other == {"own": "one two three four five"}
+
+
 @needs_data
 def test_license_lines_are_all_found(spark):
     lines = documents(spark).where("lower(text) rlike '(licensed under (the apache license, version 2.0|cc by-nc 4.0|the gnu general public license, version 3))|released under the mit license'").select("doc_id").distinct()

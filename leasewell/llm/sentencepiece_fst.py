@@ -1,19 +1,25 @@
 """SentencePiece encoding and decoding as shortest paths in a weighted finite-state transducer.
 
-A model file is compiled into three machines over the tropical semiring:
-
-* the *normaliser* writes a space as the word mark and puts one before the text, as the model asks;
-* the *lexicon* reads normalised characters and writes piece ids: a path for every piece, and for a character that no
-  piece covers a path that writes its UTF-8 bytes (byte fallback) or the unknown id;
-* the *adjacency* acceptor reads piece ids.  For unigram models it is trivial and pieces cost ``-score``.  For BPE
-  models it gives a pair of neighbouring pieces weight 0 if merging their characters by rank leaves exactly this
-  pair, else infinity.  A sequence is what BPE yields if and only if all its pairs are: a boundary that no merge
-  crosses separates merges left and right of it, so whether one survives depends on the two pieces at it.
-
-Each input is composed with them and the path of least weight is taken, position by position; the adjacency weights
-are expanded when first met and kept.  Between characters that no piece joins (before a word mark, around characters
-that stand alone in the vocabulary) the composition has a single state, so these stretches are solved once and kept
-in a bounded table.  Whole texts are encoded.
+A model file is compiled into three machines over the tropical semiring (weights add along a path, the least wins):
+
+* the *normaliser*, a transducer of one state, writes the word mark for a space and copies other characters; its initial
+  arc writes a mark before the text, as the model asks.  With one arc that rewrites, running it is one replacement.
+* the *lexicon* reads normalised characters and writes piece ids.  Its states are the prefixes of pieces, compiled to a
+  trie of arcs; where a piece ends, an arc writes its id at its cost and leads back to the start.  A character that no
+  piece covers has a path that writes its UTF-8 bytes (byte fallback) or the unknown id.
+* the *adjacency* acceptor reads piece ids; its state is the last id.  For unigram models all its weights are 0 and pieces
+  cost ``-score``.  For BPE models pieces cost nothing, and a pair of neighbours has weight 0 if merging their characters
+  by rank leaves exactly this pair, else infinity.  A sequence is what BPE yields if and only if all its pairs are: a
+  boundary that no merge crosses separates merges left and right of it, so whether one survives depends on the two
+  pieces at it.  Its arcs are expanded when first met and kept.
+
+Inputs are composed with them on the fly, many at once: a state of the composition is a place in the text, a state of the
+lexicon and the last id.  numpy follows the arcs of the lexicon from all places of all inputs, then relaxes the shortest
+distances place by place, with the weights of the adjacency; at a place between two pieces one last id suffices, the one of least weight, because with BPE a prefix has a single path of finite weight, and with unigram models the
+last id does not matter.  The path back from the end gives the ids.
+
+Between characters that no piece joins (before a word mark, around characters that stand alone in the vocabulary) all paths
+meet, so these stretches are solved once and kept in a bounded table.  Whole texts are encoded.
 
 Defined cases: a null text has null ids; an empty text has none; repeated rows each give a row.
 """
@@ -37,6 +43,8 @@ from leasewell.llm.arrowtext import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Solved stretches in each of two generations that a process keeps.
 KEPT_STRETCHES = 150_000
+#: Size of the table of expanded adjacency arcs, as a power of two (12 bytes each).
+PAIR_BITS = 21
 MARK = "▁"
 #: Model types and piece types of the file format (fixed values).
 UNIGRAM, BPE = 1, 2
@@ -91,6 +99,44 @@ class Model:
             raise ValueError("only unigram and BPE models without character map, suffix marks and user-defined pieces can be compiled")
 
 
+class Table:
+    """Numbers by non-negative 64-bit keys: open addressing over arrays, for many keys at once."""
+
+    def __init__(self, bits: int):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that are not there."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not there; the table must keep free places."""
+        self.size += len(keys)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.keys[slot[taken]], self.values[slot[taken]] = keys[taken], values[taken]
+            left = np.ones(len(keys), bool)
+            left[taken] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & (len(self.keys) - 1)
+
+
 class Transducer:
     """The compiled machines of a model."""
 
@@ -100,13 +146,28 @@ class Transducer:
         self.bytes = {int(p[1:-1], 16): k for k, (p, t) in enumerate(zip(model.pieces, model.types, strict=True)) if t == BYTE}
         self.unknown = next((k for k, t in enumerate(model.types) if t == UNKNOWN), 0)
         self.bpe = model.kind == BPE
-        self.longest = max(map(len, self.lexicon), default=1)
         self.unknown_cost = 10.0 - min((model.scores[k] for k in self.lexicon.values()), default=0.0)
         merges = sorted((p for p in self.lexicon if len(p) > 1), key=lambda p: -model.scores[self.lexicon[p]])
         self.rank = {p: k for k, p in enumerate(merges)}
         self.split: dict[str, tuple[str, str] | None] = {}
-        self.usable = {p for p in merges if self.halves(p)} if self.bpe else set()
-        self.adjacent: dict[tuple[str, str], bool] = {}
+        #: arcs of the lexicon: state and character to state; the id written where a piece ends, else -1
+        states, self.ends, usable = {"": 0}, [-1], [p for p in self.lexicon if not self.bpe or len(p) == 1 or self.halves(p)]
+        for piece in usable:
+            for k in range(1, len(piece) + 1):
+                if states.setdefault(piece[:k], len(states)) == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[states[piece]] = self.lexicon[piece]
+        chars = sorted({c for p in usable for c in p})
+        self.chars = {c: k for k, c in enumerate(chars)}
+        self.code = np.full(0x110000, len(chars), np.int32)
+        self.code[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.many_chars, arcs = len(chars) + 1, [(states[p[:-1]] * (len(chars) + 1) + self.chars[p[-1]], k) for p, k in states.items() if p]
+        self.arcs, self.table = dict(arcs), Table(max(10, (8 * len(arcs)).bit_length()))
+        self.table.put(np.array([k for k, _ in arcs], np.int64), np.array([v for _, v in arcs], np.int32))
+        self.end_ids = np.array(self.ends)
+        self.cost = np.array([0.0 if self.bpe else -x for x in model.scores])
+        #: arcs of the adjacency acceptor that have been expanded: 1 for weight 0, 0 for infinity
+        self.adjacent = Table(PAIR_BITS)
         #: solved stretches in two generations: what is used again outlives the full table it was in
         self.solved: dict[str, bytes] = {}
         self.solved_before: dict[str, bytes] = {}
@@ -162,82 +223,101 @@ class Transducer:
             else:
                 return True
 
-    def shortest_path(self, text: str) -> list[int]:
-        """Ids on the path of least weight through the composition with one stretch."""
-        pieces = self._only_path(text) if self.bpe else self._least_path(text)
-        out, lexicon = [], self.lexicon
-        for piece in pieces:
-            known = lexicon.get(piece)
-            if known is None:
-                out += self.fallback(piece)
-            else:
-                out.append(known)
-        return out
-
-    def _only_path(self, text: str) -> list[str]:
-        """All finite weights are 0 and a prefix has one finite path: search depth first, long pieces first, and
-        never go on twice from the same place."""
-        n, usable, adjacent, longest = len(text), self.usable, self.adjacent, self.longest
-        path, at, last, size, dead = [], 0, "", min(self.longest, len(text)), set()
-        while at < n:
-            while size:
-                piece = text[at : at + size]
-                if (size == 1 or piece in usable) and at + size not in dead:
-                    if not at:
-                        break
-                    pair = last, piece
-                    fits = adjacent.get(pair)
-                    if fits is None:
-                        if len(adjacent) >= 2 * KEPT_STRETCHES:
-                            adjacent.clear()
-                        fits = adjacent[pair] = self.may_follow(last, piece)
-                    if fits:
-                        break
-                size -= 1
-            if size:
-                path.append(piece)
-                at += size
-                last, size = piece, min(longest, n - at)
-            else:
-                dead.add(at)
-                last = path.pop()
-                at, size = at - len(last), len(last) - 1
-                last = path[-1] if path else ""
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pairs of ids have adjacency weight 0; a left id below 0 is none."""
+        pair = np.maximum(left, 0) * len(self.cost) + right
+        fits = self.adjacent.get(pair)
+        new = np.unique(pair[(fits < 0) & (left >= 0)])
+        if len(new):
+            if self.adjacent.size + len(new) > len(self.adjacent.keys) // 2:
+                self.adjacent = Table(max(PAIR_BITS, (4 * len(new)).bit_length()))
+            pieces = self.model.pieces
+            self.adjacent.put(new, np.array([self.may_follow(pieces[p // len(self.cost)], pieces[p % len(self.cost)]) for p in new.tolist()], np.int32))
+            return self.follows(left, right)
+        return (fits == 1) | (left < 0)
+
+    def shortest_paths(self, texts: list[str]) -> list[bytes]:
+        """Ids (32-bit little-endian) on the path of least weight through the composition with each stretch."""
+        if not texts:
+            return []
+        size = np.array([len(t) for t in texts])
+        joined = "".join(texts)
+        code = self.code[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        text = np.repeat(np.arange(len(size)), size)
+        first = np.cumsum(size) - size
+        inside, total = np.arange(len(code)) - first[text], len(code)
+        # arcs of the composition with the lexicon: begin and end (as places in all texts, a place more for each), and id
+        begin, end, ids = [], [], []
+        state, at, reach = np.zeros(total, np.int64), np.arange(total), np.arange(total)
+        while len(at):
+            state = self.table.get(state * self.many_chars + code[reach])
+            live = state >= 0
+            state, at, reach = state[live], at[live], reach[live] + 1
+            piece = self.end_ids[state]
+            found = piece >= 0
+            begin.append(at[found])
+            end.append(reach[found])
+            ids.append(piece[found])
+            more = reach < (first + size)[text[at]]
+            state, at, reach = state[more], at[more], reach[more]
+        single = self.table.get(code.astype(np.int64))
+        alone = np.flatnonzero((single < 0) | (self.end_ids[single] < 0))  # characters that no piece covers
+        begin, end, ids = (np.concatenate(x) for x in ([*begin, alone], [*end, alone + 1], [*ids, np.full(len(alone), -1)]))
+        order = np.lexsort((end, inside[begin]))
+        begin, end, ids = begin[order], end[order], ids[order]
+        step = np.searchsorted(inside[begin], np.arange(size.max(initial=0) + 1))
+        spaced = begin + text[begin], end + text[begin]
+        weight, last, back = np.full(total + len(size), np.inf), np.full(total + len(size), -1), np.zeros(total + len(size), np.int64)
+        weight[first + np.arange(len(size))] = 0
+        for a, b in zip(step, step[1:], strict=False):
+            source, target, known = spaced[0][a:b], spaced[1][a:b], ids[a:b]
+            reached = weight[source] + np.where(known >= 0, self.cost[known], self.unknown_cost)
+            better = np.flatnonzero(reached < weight[target])
+            if self.bpe:
+                fits, piece = known[better] < 0, np.flatnonzero(known[better] >= 0)
+                fits[piece] = self.follows(last[source[better[piece]]], known[better[piece]])
+                better = better[fits]
+            weight[target[better]], last[target[better]], back[target[better]] = reached[better], known[better], source[better]
+        place, start = first + size + np.arange(len(size)), first + np.arange(len(size))
+        on_path = np.zeros(total + len(size), bool)
+        while len(place):
+            on_path[place] = True
+            place = back[place]
+            going = place != start
+            place, start = place[going], start[going]
+        where = np.flatnonzero(on_path)
+        owner = np.searchsorted(first + np.arange(len(size)), where, "right") - 1
+        out, bounds, path = last[where].astype(np.int32), np.searchsorted(owner, np.arange(len(size) + 1)) * 4, []
+        data = out.tobytes()
+        path = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in np.unique(owner[out < 0]).tolist():  # texts with characters that no piece covers
+            own = where[owner == k]
+            path[k] = array("i", [x for p in own.tolist() for x in ([int(last[p])] if last[p] >= 0 else self.fallback(joined[back[p] - k : p - k]))]).tobytes()
         return path
 
-    def _least_path(self, text: str) -> list[str]:
-        """Least weight by place, left to right."""
-        n, lexicon, scores = len(text), self.lexicon, self.model.scores
-        weight, last = [0.0] + [np.inf] * n, [""] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                known = lexicon.get(text[begin:end])
-                if known is not None or begin == end - 1:
-                    cost = weight[begin] + (self.unknown_cost if known is None else -scores[known])
-                    if cost < weight[end]:
-                        weight[end], last[end] = cost, text[begin:end]
-        path = []
-        while n:
-            path.append(last[n])
-            n -= len(last[n])
-        return path[::-1]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        young, out = self.solved, []
-        for stretch in self.stretch.findall(self.normalised(text)):
-            ids = young.get(stretch)
-            if ids is None:
-                ids = self.solved_before.get(stretch)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers."""
+        stretches = [self.stretch.findall(self.normalised(t)) for t in texts]
+        young, before = self.solved, self.solved_before
+        new = []
+        for stretch in {x for own in stretches for x in own}:
+            if stretch not in young:
+                ids = before.get(stretch)
                 if ids is None:
-                    ids = array("i", self.shortest_path(stretch)).tobytes()
-                if len(stretch) <= 64:
-                    if len(young) >= KEPT_STRETCHES:
-                        self.solved_before, self.solved = young, {}
-                        young = self.solved
+                    new.append(stretch)
+                else:
                     young[stretch] = ids
-            out.append(ids)
-        return b"".join(out)
+        young.update(zip(new, self.shortest_paths(new), strict=True))
+        out = [b"".join([young[x] for x in own]) for own in stretches]
+        for stretch in [x for x in new if len(x) > 64]:
+            del young[stretch]
+        if len(young) >= KEPT_STRETCHES:
+            self.solved_before, self.solved = young, {}
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         output = self.output
@@ -277,7 +357,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
         for batch in batches:
             for part in slices(batch, text):
                 values = part.column(text).to_pylist()
-                ids = [None if v is None else machine.encode(v) for v in values]
+                found = iter(machine.encode_all([v for v in values if v is not None]))
+                ids = [None if v is None else next(found) for v in values]
                 flat = np.frombuffer(b"".join(x for x in ids if x), np.int32)
                 size = np.array([0 if x is None else len(x) // 4 for x in ids], np.int64)
                 missing = np.array([x is None for x in ids], bool)

@@ -150,6 +150,40 @@ def test_unigram_takes_the_least_weight():
     assert np.frombuffer(machine.encode("  ab  z"), np.int32).tolist() == [5, 3, 1, 0]
 
 
+def least_weight(machine, text):
+    """The least weight of a path by trying all ways to cut a text."""
+    if not text:
+        return 0.0
+    model = machine.model
+    ways = [(model.pieces.index(text[:k]) if text[:k] in machine.lexicon else None, k) for k in range(1, len(text) + 1)]
+    return min((machine.unknown_cost if known is None else -model.scores[known]) + least_weight(machine, text[k:]) for known, k in ways if known is not None or (k == 1))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcz ", max_size=9), st.integers(0, 10**6))
+def test_unigram_paths_have_the_least_weight(text, seed):
+    rng = random.Random(seed)
+    model = sentencepiece_fst.Model(b"")
+    model.pieces = ["<unk>", "▁", "a", "b", "c", "ab", "▁a", "bc", "abc", "ca", "▁b"]
+    model.scores, model.types = [0.0] + [-rng.choice([1.0, 2.0, 3.0, 4.5]) for _ in model.pieces[1:]], [2] + [1] * (len(model.pieces) - 1)
+    model.kind, model.byte_fallback, model.dummy_prefix, model.squeeze, model.escape = sentencepiece_fst.UNIGRAM, False, True, False, True
+    machine = sentencepiece_fst.Transducer(model)
+    ids = np.frombuffer(machine.encode(text), np.int32)
+    assert machine.decode(ids) == "".join(" ⁇ " if c == "z" else c for c in text)
+    assert abs(sum(machine.unknown_cost if k == 0 else -model.scores[k] for k in ids) - least_weight(machine, machine.normalised(text))) < 1e-9
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 200), unique=True, max_size=120), st.lists(st.integers(0, 200), max_size=60))
+def test_tables_hold_their_keys(keys, asked):
+    table = sentencepiece_fst.Table(8)
+    half = len(keys) // 2
+    for part in (keys[:half], keys[half:]):
+        table.put(np.array(part, np.int64), np.array(part, np.int32) * 3)
+    expected = [3 * k if k in keys else -1 for k in asked]
+    assert table.get(np.array(asked, np.int64)).tolist() == expected
+
+
 @needs_model
 def test_encoding_of_odd_rows(spark, odd, odd_rows):
     rows = sentencepiece_fst.encode(odd).collect()

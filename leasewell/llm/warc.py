@@ -9,8 +9,8 @@ stored bytes are hashed again when read.  ``read_archive`` joins heads and paylo
 Of the records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one of largest id is a ``response`` and
 the others are ``revisit`` records of it; smaller payloads are stored once too, but all their records are responses.
 
-Only light rows are grouped by digest (pre-aggregated); payload bytes are shuffled once, by page id, when the archive
-is written.  The joins by digest read written tables on both sides, so that adaptive execution can split the join
+Only light rows are grouped by digest (pre-aggregated); payload bytes are shuffled by page id when the archive
+is written, and each payload once by digest when records are rebuilt.  The joins by digest read written tables on both sides, so that adaptive execution can split the join
 partition of a payload that a third of the pages share.
 
 Defined cases: null html is an empty payload; a row with a null id gives no record; a null url gives no target line;
@@ -83,22 +83,43 @@ def _field(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_extract(head, r"(?s)^(.*?)\r\n\r\n", 1), rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
 
 
+def _rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, head, record, payload, digest) of every record: its exact head joined with its payload, whose digest is
+    verified."""
+    records, stored = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
+    wrong = F.raise_error(F.lit("a stored payload does not have its digest"))
+    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong)
+    rows = records.join(stored, "digest").select("page_id", "digest", F.decode("head", "UTF-8").alias("text"), "head", checked.alias("payload"))
+    body = F.when(_field(F.col("text"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return rows.withColumn("record", F.concat("head", body))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of each page, from the heads and the stored payloads: page_id, payload_bytes,
-    payload_digest, record_type, refers_to, target_uri."""
-    stored = spark.read.parquet(f"{path}/payloads")
-    checked = stored.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.sha1("payload")).otherwise(F.raise_error(F.lit("a stored payload does not have its digest"))).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
-    head = F.decode("head", "UTF-8")
-    number = lambda name: F.regexp_extract(_field(head, name), r":(-?\d+)>$", 1).cast("long")
-    records = spark.read.parquet(f"{path}/records").select("digest", number("WARC-Record-ID").alias("page_id"), _field(head, "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), _field(head, "WARC-Target-URI").alias("target_uri"))
-    return records.join(checked, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    """What the archive says of each page, from its rebuilt record and full payload: page_id, payload_bytes,
+    payload_digest, record_type, refers_to, target_uri.
+
+    A record must be as long as its head says, and its payload have the digest that the head names.
+    """
+    text = F.col("text")
+    number = lambda name: F.regexp_extract(_field(text, name), r":(-?\d+)>$", 1).cast("long")
+    start = F.octet_length(F.substring_index("text", "\r\n\r\n", 1)) + 4
+    whole = F.length("record") == start + _field(text, "Content-Length").cast("long")
+    sha1 = F.sha1("payload")
+    same = _field(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), sha1)
+    digest = F.when(whole & same, sha1).otherwise(F.raise_error(F.lit("a record is not what its head says")))
+    return _rebuilt(spark, path).select(
+        number("WARC-Record-ID").alias("page_id"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        _field(text, "WARC-Type").alias("record_type"),
+        number("WARC-Refers-To").alias("refers_to"),
+        _field(text, "WARC-Target-URI").alias("target_uri"),
+    )
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record, payload): the original records, byte for byte, and their full payloads."""
-    records, stored = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
-    body = F.when(_field(F.decode("head", "UTF-8"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.join(stored, "digest").select("page_id", F.concat("head", body).alias("record"), "payload")
+    return _rebuilt(spark, path).select("page_id", "record", "payload")
 
 
 def export_warc(spark: SparkSession, path: str, out: str) -> None:

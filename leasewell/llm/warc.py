@@ -9,9 +9,9 @@ stored bytes are hashed again when read.  ``read_archive`` joins heads and paylo
 Of the records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one of largest id is a ``response`` and
 the others are ``revisit`` records of it; smaller payloads are stored once too, but all their records are responses.
 
-Only light rows are grouped by digest (pre-aggregated); payload bytes are shuffled by page id when the archive
-is written, and each payload once by digest when records are rebuilt.  The joins by digest read written tables on both sides, so that adaptive execution can split the join
-partition of a payload that a third of the pages share.
+Only light rows are grouped by digest (pre-aggregated); payload bytes are shuffled by page id when the archive is
+written, and each distinct payload once by digest when records are rebuilt.  The joins by digest read written tables on
+both sides, so that adaptive execution can split the join partition of a payload that a third of the pages share.
 
 Defined cases: null html is an empty payload; a row with a null id gives no record; a null url gives no target line;
 line breaks in a url are percent-encoded; rows that repeat id and html give a record each, of the same type.

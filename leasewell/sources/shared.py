@@ -11,9 +11,12 @@ _own: str | None = None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; only where the session names none, below a folder of our own."""
+    """A new path below spark.checkpoint.dir; where the session names none, below a folder of our own on one machine and
+    an error on a cluster."""
     global _own
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         _own = _own or f"file://{tempfile.mkdtemp(prefix='leasewell-')}"
         folder = _own

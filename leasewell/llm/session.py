@@ -13,7 +13,8 @@ _own_folder: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) is a folder of our own made.
+    Only where the session names none and everything runs on one machine is a folder of our own made; a cluster without
+    the setting is refused.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="leasewell-")
     return f"file://{_own_folder}"

@@ -128,7 +128,10 @@ def export_warc(spark: SparkSession, path: str, out: str) -> None:
 
 
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, record) of WARC files: each file is cut by the Content-Length of its records."""
+    """(record_id, page_id, record_type, record) of WARC files: each file is cut by the Content-Length of its records.
+
+    page_id is null for records that another writer made.  A file is read as a row, so it must be under 2 GB.
+    """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -136,10 +139,14 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
                 found, at = [], 0
                 while at < len(data):
                     end = data.index(b"\r\n\r\n", at) + 4
-                    lines = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:] if x)
-                    stop = end + int(lines[b"Content-Length"])
-                    found.append((int(lines[b"WARC-Record-ID"].rstrip(b">").rpartition(b":")[2]), lines[b"WARC-Type"].decode(), data[at:stop]))
+                    lines = {name.strip().lower(): value.strip() for name, _, value in (x.partition(b":") for x in data[at:end].split(b"\r\n")[1:] if x)}
+                    stop = end + int(lines[b"content-length"])
+                    own = lines.get(b"warc-record-id", b"").decode("utf-8", "replace").strip("<>")
+                    page = int(own[len(_ID) :]) if own.startswith(_ID) else None
+                    found.append((own, page, lines.get(b"warc-type", b"").decode(), data[at:stop]))
                     at = stop + 4
-                yield pd.DataFrame(found, columns=["page_id", "record_type", "record"])
+                out = pd.DataFrame(found, columns=["record_id", "page_id", "record_type", "record"])
+                out["page_id"] = out["page_id"].astype("Int64")
+                yield out
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInPandas(cut, "page_id long, record_type string, record binary")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0 and path rlike '/(part-[^/]*|[^/]*[.]warc)$'").select("content").mapInPandas(cut, "record_id string, page_id long, record_type string, record binary")

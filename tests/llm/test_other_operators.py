@@ -222,6 +222,15 @@ def test_archive_gives_back_the_records(spark, tmp_path):
     assert sorted((r.page_id, bytes(r.record)) for r in back) == sorted((r.page_id, bytes(r.record)) for r in warc.read_archive(spark, path).collect())
 
 
+def test_records_of_other_writers(spark, tmp_path):
+    body = b"HTTP/1.0 200 OK\r\n\r\n<p>x"
+    record = lambda kind, own: b"WARC/1.0\r\nwarc-type:" + kind + b"\r\nWARC-Record-ID: <urn:uuid:" + own + b">\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record(b"response", b"1") + record(b"warcinfo", b"2"))
+    rows = warc.import_warc(spark, f"file://{tmp_path}").orderBy("record_id").collect()
+    assert [(r.record_id, r.page_id, r.record_type) for r in rows] == [("urn:uuid:1", None, "response"), ("urn:uuid:2", None, "warcinfo")]
+    assert all(bytes(r.record).endswith(body) for r in rows)
+
+
 def test_empty_archive(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/archive")
     assert warc.read_records(spark, f"file://{tmp_path}/archive").count() == 0
@@ -378,3 +387,27 @@ def test_pipeline_stages(spark):
         rows = got
     random.seed(0)
     assert docs.where("not round_trip").count() == 0 and corpus_pipeline.run(spark, DATA).count() == len(rows) and prose(1, 3)
+
+
+@needs_model
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+    from tests.llm import brute
+    from tests.llm.conftest import SCHEMA
+
+    line, one = prose(71, 40), prose(72, 300)
+    more = [(20, one, "en", "a", 1), (20, line + " " + prose(73, 90), "en", "a", 1), (20, one, "en", "a", 1), (21, line + " " + prose(74, 90), "fr", "b", 1), (20, None, "en", "a", 1), (22, prose(75, 60) + " the test item is here word for word as it was", "en", "a", 1), (None, one, "en", "a", 1)]
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = odd.unionByName(spark.createDataFrame(more, SCHEMA), allowMissingColumns=True)
+    path = f"file://{tmp_path}"
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "the test item is here word for word as it was"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, path).collect()
+    kept = [(r.doc_id, r.text) for r in rows]
+    assert rows and all(r.round_trip and r.n_ids == len(r.ids) for r in rows) and set(columns) <= set(rows[0].asDict())
+    assert all(brute.words(t) for _, t in kept) and 22 not in {i for i, _ in kept} and not {2, 3, 4, 5, 6, 13} & {i for i, _ in kept}
+    assert kept.count((20, one)) == 1 and (21, prose(74, 90)) in [(i, t.strip()) for i, t in kept]
+    empty = tmp_path / "none"
+    docs.limit(0).write.parquet(f"file://{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{empty}").count() == 0

@@ -12,8 +12,8 @@ transitions and are spread to dense transition tables, one column a byte of the
 cells.  A missing transition already holds the state after a new phrase has begun, so a parse is one table lookup per
 symbol, and numpy walks many stretches of ``STRETCH`` symbols side by side.  A phrase does not end with its stretch: a
 walk goes on for ``OVERLAP`` symbols into the next stretch, and where both walks begin a phrase at the same place they
-are the same from there, so the phrases of the whole text are counted exactly.  A text in which two walks do not meet
-is walked again in one stretch.  Every symbol of every text is parsed.
+are the same from there, so the phrases of the whole text are counted exactly.  Stretches whose walks do not meet are
+joined and walked again.  Every symbol of every text is parsed.
 
 The sample is bounded by parameters: at most ``SAMPLE_ROWS`` rows a language, in the order of a hash of the id, and
 ``SAMPLE_SYMBOLS`` characters, shared by all these rows: each gives the same number (shorter texts are taken whole, and
@@ -43,7 +43,7 @@ SAMPLE_ROWS = 200
 SAMPLE_SYMBOLS = 40_000
 #: Characters of an excerpt of a text that is too long for its share of the sample.
 EXCERPT = 200
-STRETCH, OVERLAP = 256, 64
+STRETCH, OVERLAP = 1024, 64
 #: Symbols that a sample may lack: the bytes.
 ALPHABET = 256
 #: Cells of the tables that a task holds at once (four bytes each).
@@ -166,55 +166,68 @@ class CrossParser:
         first = np.cumsum(lengths) - lengths
         for group, members in enumerate(self.groups):
             known = self.tables(group)[2] > 0
-            phrases, met = self.phrases(group, symbols, first, lengths, STRETCH)
-            apart = np.flatnonzero(~met)
-            if len(apart):
-                phrases[:, apart] = self.phrases(group, symbols, first[apart], lengths[apart], int(lengths[apart].max()))[0]
+            phrases = self.phrases(group, symbols, first, lengths, STRETCH)
             cost = np.empty(phrases.shape)
             for row, k in enumerate(members):
                 unseen = np.bincount(text, ~known[row, symbols], len(lengths))
                 cost[row] = (phrases[row] - unseen) * self.bits[k] + unseen * np.log2(ALPHABET)
             yield members[0], cost
 
-    def phrases(self, group: int, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text (columns) under the languages of a group (rows), and whether its walks met."""
-        table, start, columns = self.tables(group)
+    def phrases(self, group: int, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, stretch: int) -> np.ndarray:
+        """Phrases of each text (columns) under the languages of a group (rows)."""
         pieces = -(-lengths // stretch)
         owner = np.repeat(np.arange(len(lengths)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin, left = first[owner] + nth * stretch, lengths[owner] - nth * stretch
-        order = np.argsort(-left, kind="stable")
-        begin, size = begin[order], np.minimum(left[order], stretch + OVERLAP)
-        active = np.searchsorted(-size, -np.arange(1, stretch + OVERLAP + 1), "right")
+        at = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stretch
+        left = lengths[owner] - at
+        begin, size = first[owner] + at, np.minimum(left, stretch)
+        count, head, tail = self.walked(group, symbols, begin, size, left)
+        while True:
+            after = np.flatnonzero(np.diff(owner, prepend=-1) == 0)  # stretches with one before them in their text
+            common = tail[:, after - 1] & head[:, after]
+            ends = (common == 0) & (left[after] <= OVERLAP)  # the last phrases of the text began in the stretch before
+            apart = after[((common == 0) & ~ends).any(axis=0)]
+            if not len(apart):
+                break
+            lead = np.ones(len(owner), bool)
+            lead[apart] = False
+            kept = np.flatnonzero(lead)
+            again = np.diff(np.append(kept, len(owner))) > 1  # those that are joined with what follows
+            owner, begin, left, size = owner[kept], begin[kept], left[kept], np.add.reduceat(size, kept)
+            count, head, tail = count[:, kept], head[:, kept], tail[:, kept]
+            count[:, again], head[:, again], tail[:, again] = self.walked(group, symbols, begin[again], size[again], left[again])
+        if len(after):
+            below = (common & (~common + np.uint64(1))) - np.uint64(1)  # places before the one where both begin a phrase
+            count[:, after] -= np.where(ends, count[:, after], np.bitwise_count(head[:, after] & below))
+            count[:, after - 1] += np.bitwise_count(tail[:, after - 1] & below)
+        return np.stack([np.bincount(owner, row, len(lengths)) for row in count])
+
+    def walked(self, group: int, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of walks over stretches of their texts: the phrases that begin in each, and the places (bits) of those that
+        begin in its first OVERLAP symbols and in the OVERLAP symbols after it."""
+        table, start, columns = self.tables(group)
+        reach = np.minimum(left, size + OVERLAP)
+        order = np.argsort(-reach, kind="stable")
+        begin, size, reach = begin[order], size[order], reach[order]
+        active = np.searchsorted(-reach, -np.arange(1, reach.max(initial=0) + 1), "right")
         state = np.repeat(start[:, None], len(size), 1)
         count, head, tail = np.zeros(state.shape, np.int64), np.zeros(state.shape, np.uint64), np.zeros(state.shape, np.uint64)
-        keep = ~(_MISS | _UNSEEN)
+        keep, shortest = ~(_MISS | _UNSEEN), np.minimum.accumulate(size)
         for k, n in enumerate(active.tolist()):
-            if not n:
-                break
             to = table[state[:, :n] + columns[:, symbols[begin[:n] + k]]]
             state[:, :n] = to & keep
             fresh = to >= _MISS if k else np.ones(to.shape, bool)
-            if k < stretch:
+            if k < OVERLAP:
+                head[:, :n] |= fresh.astype(np.uint64) << np.uint64(k)
+            if k < shortest[n - 1]:
                 count[:, :n] += fresh
-                if k < OVERLAP:
-                    head[:, :n] |= fresh.astype(np.uint64) << np.uint64(k)
-            else:
-                tail[:, :n] |= fresh.astype(np.uint64) << np.uint64(k - stretch)
+                continue
+            inside = k < size[:n]
+            count[:, :n] += fresh & inside
+            over = np.flatnonzero(~inside)
+            tail[:, over] |= fresh[:, over].astype(np.uint64) << (k - size[over]).astype(np.uint64)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        count, head, tail = count[:, back], head[:, back], tail[:, back]
-        after = np.flatnonzero(nth > 0)  # stretches with one before them in their text
-        if len(after):
-            common = tail[:, after - 1] & head[:, after]
-            below = (common & (~common + np.uint64(1))) - np.uint64(1)  # places before the one where both begin a phrase
-            ends = (common == 0) & (left[after] <= OVERLAP)  # the last phrases of the text began in the stretch before
-            count[:, after] -= np.where(ends, count[:, after], np.bitwise_count(head[:, after] & below))
-            count[:, after - 1] += np.bitwise_count(tail[:, after - 1] & below)
-            met = np.bincount(owner[after], ((common == 0) & ~ends).any(axis=0), len(lengths)) == 0
-        else:
-            met = np.ones(len(lengths), bool)
-        return np.stack([np.bincount(owner, row, len(lengths)) for row in count]), met
+        return count[:, back], head[:, back], tail[:, back]
 
 
 def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -> Iterator[tuple[str, list[str]]]:
@@ -231,7 +244,8 @@ def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -
     room = F.floor(share / pieces).cast("int")
     first = lambda k: F.floor(k * (F.col("_size") - room) / F.greatest(pieces - 1, F.lit(1))).cast("int") + 1
     excerpts = F.when(F.col("_size") <= share, F.col("_t")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.substring(F.col("_t"), first(k), room)), " "))
-    found = written(rows.join(levels.dropDuplicates(["_id", "_l", "_h"]), ["_id", "_l", "_h"]).select("_l", "_n", excerpts.alias("_t")).where("_n is not null"), "sample")
+    levels = written(levels.dropDuplicates(["_id", "_l", "_h"]), "sampled")  # its size decides how it is joined
+    found = written(rows.join(levels, ["_id", "_l", "_h"]).select("_l", "_n", excerpts.alias("_t")).where("_n is not null"), "sample")
     found = found.dropDuplicates(["_l", "_n"]).orderBy("_l", "_n").toLocalIterator()
     for name, group in groupby(found, lambda r: r[0]):
         yield name, [r[2] for r in group]

@@ -274,6 +274,8 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     key = next(f"_key{k}" for k in range(len(docs.columns) + 1) if f"_key{k}" not in docs.columns)
     acted = written(own.join(first, "group").where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(doc_id), F.col("key").alias(key), stays.alias("_stays")), "acted")
     keyed, on = docs.withColumn(key, F.xxhash64(text)), [doc_id, key]
-    alone = keyed.join(acted, on, "left_anti")
-    repeated = keyed.join(acted.where("_stays").drop("_stays"), on).dropDuplicates(on)
-    return alone.select(docs.columns).unionByName(repeated.select(docs.columns))
+    alone = keyed.join(acted.hint("merge"), on, "left_anti").select(docs.columns)
+    repeated = acted.where("_stays").drop("_stays")
+    if repeated.isEmpty():
+        return alone
+    return alone.unionByName(keyed.join(repeated.hint("merge"), on).dropDuplicates(on).select(docs.columns))
